@@ -27,9 +27,9 @@ def _both(e: DataFrame) -> DataFrame:
     return e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _peel(both: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Vertices reached from the highest-degree vertex (equal degrees: the smallest id), and the directed edges left
-    when they are taken out, where a part not reached to its end keeps its outer edges with the start in its place."""
+def _peel(both: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Vertices reached from the highest-degree vertex (equal degrees: the smallest id), the directed edges left
+    when they are taken out, where a part not reached to its end keeps its outer edges with the start in its place, and the start."""
     hub = both.groupBy("a").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "a").limit(1).select("a").collect()
     start = hub[0][0]
     reached = written(both.sparkSession.createDataFrame([(start,)], "a bigint"))
@@ -89,9 +89,8 @@ def group_ids(pairs: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     reached, rest, start = _peel(both)
     labels = _propagate(rest)
     # everything reached has the start's label: if the start still has edges, the propagated one
-    low = reached.agg(F.min("a").alias("low"))
-    tail = labels.where(F.col("v") == start).agg(F.min("label").alias("tail"))
-    giant_label = low.join(tail).select(F.least("low", "tail").alias("g"), F.coalesce("tail", F.lit(start)).alias("t"))
-    (giant, taken), = giant_label.collect()
+    low = reached.agg(F.min("a")).collect()[0][0]
+    tail = labels.where(F.col("v") == start).agg(F.min("label")).collect()[0][0]
+    giant, taken = (low, start) if tail is None else (min(low, tail), tail)
     others = labels.where(F.col("v") != start).select(F.col("v").alias("id"), F.when(F.col("label") == taken, F.lit(giant)).otherwise(F.col("label")).alias("group_id"))
     return reached.select(F.col("a").alias("id"), F.lit(giant).alias("group_id")).union(others)

@@ -20,7 +20,40 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return survivors(load(spark, d, "files"), load(spark, d, "roots"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found}
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    from shelfscan.llm.neighbours import neighbour_pairs
+
+    files = load(spark, d, "files")
+    dhash = files.where(F.bit_count("dhash").between(9, 55)).select("id", F.col("dhash").alias("v"))
+    simhash = files.where((F.col("chars") >= 600) & F.col("simhash").isNotNull()).select("id", F.col("simhash").alias("v"))
+    images = neighbour_pairs(dhash, 5, 8).select(F.lit("dhash").alias("field"), "id_a", "id_b")
+    return images.union(neighbour_pairs(simhash, 5, 3).select(F.lit("simhash").alias("field"), "id_a", "id_b"))
+
+
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    from shelfscan.llm.encoding import token_ids
+
+    return token_ids(load(spark, d, "documents"))
+
+
+def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id and the text that its ids stand for."""
+    from shelfscan.llm.encoding import decoded, pieces, token_ids
+
+    return decoded(token_ids(load(spark, d, "documents")), pieces(spark))
+
+
+def p9_containers(spark: SparkSession, d: str) -> DataFrame:
+    from shelfscan.llm.encoding import token_ids
+    from shelfscan.llm.packing import containers
+
+    return containers(token_ids(load(spark, d, "documents")).select("doc_id", F.size("ids").alias("n_tokens")))
+
+
+QUERIES = {
+    "p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p8_ids": p8_ids, "p8_decoded": p8_decoded,
+    "p9_containers": p9_containers,
+}
 
 SQL = {
     "p2_found": """
@@ -40,4 +73,5 @@ SQL = {
                  CASE WHEN mtime >= 315532800 AND mtime <= indexed THEN mtime END DESC NULLS LAST, id) n,
                min(id) OVER (PARTITION BY g) group_id, count(*) OVER (PARTITION BY g) c FROM f)
         SELECT group_id, id AS keep_id FROM w WHERE n = 1 AND c > 1""",
+    "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
