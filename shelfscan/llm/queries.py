@@ -20,6 +20,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return survivors(load(spark, d, "files"), load(spark, d, "roots"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    from shelfscan.llm.near import similar_pairs
+
+    return similar_pairs(load(spark, d, "docs"), width=3, share=0.6)
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     from shelfscan.llm.neighbours import neighbour_pairs
 
@@ -51,8 +57,8 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p8_ids": p8_ids, "p8_decoded": p8_decoded,
-    "p9_containers": p9_containers,
+    "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p8_ids": p8_ids,
+    "p8_decoded": p8_decoded, "p9_containers": p9_containers,
 }
 
 SQL = {
