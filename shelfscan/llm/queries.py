@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfscan.session import load
+from shelfscan.session import load, written
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    from shelfscan.llm.mojibake import garbled
+
+    return garbled(load(spark, d, "docs")).select("id")
+
+
+def p1_restored(spark: SparkSession, d: str) -> DataFrame:
+    from shelfscan.llm.mojibake import garbled
+
+    return garbled(load(spark, d, "docs"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -53,11 +65,12 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     from shelfscan.llm.encoding import token_ids
     from shelfscan.llm.packing import containers
 
-    return containers(token_ids(load(spark, d, "documents")).select("doc_id", F.size("ids").alias("n_tokens")))
+    sizes = written(token_ids(load(spark, d, "documents")).select("doc_id", F.size("ids").alias("n_tokens")))
+    return containers(sizes)
 
 
 QUERIES = {
-    "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p8_ids": p8_ids,
+    "p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p8_ids": p8_ids,
     "p8_decoded": p8_decoded, "p9_containers": p9_containers,
 }
 
