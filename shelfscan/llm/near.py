@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
@@ -10,6 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfscan.session import written
+
 WORD = re.compile(r"\w{2,}")
 #: Counters of the frequency sketch; its size is the same for every corpus (4 MB).
 COUNTERS = 1 << 20
@@ -19,20 +22,19 @@ CHUNK = 1 << 14
 KEPT_WORDS = 1_000_000
 #: Groups of equal texts with at least 1/HOT of all rows (so at most HOT of them) are joined by broadcast.
 HOT = 1000
+#: Bits of a hash that travel with a list: so many more than the corpus has sequences, that chance seldom joins two lists.
+SPARE_BITS = 14
+
 
-_held: dict[str, int] = {}
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) > KEPT_WORDS:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
 
 
-def _word_hashes(found: list[str]) -> np.ndarray:
-    if len(_held) > KEPT_WORDS:
-        _held.clear()
-    out = []
-    for w in found:
-        h = _held.get(w)
-        if h is None:
-            h = _held[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
-        out.append(h)
-    return np.array(out, np.uint64)
+_held = _Hashes()
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -43,21 +45,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def shingles(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of the distinct sequences of `width` words of each lower-cased text, ordered by row and hash."""
-    rows, hashes = [], []
-    with np.errstate(over="ignore"):
-        for row, text in enumerate(texts):
-            w = _word_hashes(WORD.findall(text.lower()))
-            if len(w) < width:
-                continue
-            h = np.zeros(len(w) - width + 1, np.uint64)
-            for k in range(width):
-                h = _mix(h * np.uint64(3) + w[k : len(w) - width + 1 + k])
-            h = np.unique(h)
-            hashes.append(h)
-            rows.append(np.full(len(h), row, np.int64))
-    if not rows:
+    found = [WORD.findall(t.lower()) for t in texts]
+    sizes = np.array([len(w) for w in found], np.int64)
+    words = np.fromiter(map(_held.__getitem__, itertools.chain.from_iterable(found)), np.uint64, int(sizes.sum()))
+    if len(words) < width:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(rows), np.concatenate(hashes)
+    h = np.zeros(len(words) - width + 1, np.uint64)
+    for k in range(width):
+        h = _mix(h * np.uint64(3) + words[k : len(words) - width + 1 + k])
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    parts = [np.unique(h[s : s + n - width + 1]) if n >= width else h[:0] for s, n in zip(starts, sizes)]
+    return np.repeat(np.arange(len(texts)), [len(p) for p in parts]), np.concatenate(parts)
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
@@ -98,7 +96,7 @@ def _least(share: float, n: np.ndarray) -> np.ndarray:
     return np.ceil(share * n - 1e-9).astype(np.int64)
 
 
-def _short_lists(width: int, share: float, counts):
+def _short_lists(width: int, share: float, counts, drop: int):
     """(hash, id, n) of the sequences of a document that come first in the order by frequency: of n, the n - T + 1 rarest,
     T being the fewest that must be common. Two documents with T in common share one of these."""
 
@@ -113,29 +111,30 @@ def _short_lists(width: int, share: float, counts):
             place = np.arange(len(row)) - np.concatenate([[0], np.cumsum(n)])[row]
             keep = place <= (n - _least(share, n))[row]
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(ids[row[keep]]), pa.array(n[row[keep]].astype(np.int32))], ["h", "id", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array((h[keep] >> np.uint64(drop)).view(np.int64)), pa.array(ids[row[keep]]), pa.array(n[row[keep]].astype(np.int32))], ["h", "id", "n"])
 
     return run
 
 
+#: Lists up to this length are paired many at a time, longer ones row by row.
+SHORT = 16
+
+
 def _merged(share: float):
     """Pairs of documents that one short list holds, list by list: rows come ordered by hash."""
 
-    def pairs(ids: np.ndarray, n: np.ndarray):
-        for k in range(1, len(ids)):
-            # one against those before it: at most the list's length at a time
-            fits = np.minimum(n[:k], n[k]) >= share * np.maximum(n[:k], n[k]) - 1e-9
-            a, b = ids[:k][fits], np.full(int(fits.sum()), ids[k])
-            if len(a):
-                yield np.minimum(a, b), np.maximum(a, b)
-
-    def out(found):
-        a, b = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+    def pairs(ids: np.ndarray, n: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
+        for m in np.unique(sizes[(sizes > 1) & (sizes <= SHORT)]):
+            at = starts[sizes == m]
+            i, j = np.triu_indices(m, 1)
+            yield (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
+        for s, m in zip(starts[sizes > SHORT], sizes[sizes > SHORT]):
+            for k in range(1, m):  # one against those before it: at most the list's length at a time
+                yield np.arange(s, s + k), np.full(k, s + k)
 
     def run(batches):
         held: tuple = ()
-        for batch in [*batches, None]:
+        for batch in itertools.chain(batches, [None]):
             if batch is not None and not batch.num_rows:
                 continue
             if batch is None:
@@ -147,18 +146,16 @@ def _merged(share: float):
                     h, ids, n = (np.concatenate(x) for x in zip(held, (h, ids, n)))
                 whole = int(np.searchsorted(h, h[-1]))  # the last list may go on in the next batch
                 held = (h[whole:], ids[whole:], n[whole:])
-            starts = np.flatnonzero(np.concatenate([[True], h[1:whole] != h[: whole - 1]])) if whole else np.zeros(0, np.int64)
-            sizes = np.diff(np.concatenate([starts, [whole]]))
-            found, size = [], 0
-            for s, m in zip(starts[sizes > 1], sizes[sizes > 1]):
-                for x in pairs(ids[s : s + m], n[s : s + m]):
-                    found.append(x)
-                    size += len(x[0])
-                    if size > 100_000:
-                        yield out(found)
-                        found, size = [], 0
-            if found:
-                yield out(found)
+            if not whole:
+                continue
+            starts = np.flatnonzero(np.concatenate([[True], h[1:whole] != h[: whole - 1]]))
+            for i, j in pairs(ids, n, starts, np.diff(np.concatenate([starts, [whole]]))):
+                fits = (np.minimum(n[i], n[j]) >= share * np.maximum(n[i], n[j]) - 1e-9) & (ids[i] != ids[j])
+                i, j = i[fits], j[fits]
+                swap = ids[i] > ids[j]
+                i, j = np.where(swap, j, i), np.where(swap, i, j)
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j]), pa.array(n[i]), pa.array(n[j])], ["a", "b", "na", "nb"])
 
     return run
 
@@ -205,25 +202,32 @@ def similar_texts(docs: DataFrame, width: int = 5, share: float = 0.8, min_chars
 
     Exact copies are folded first, by an aggregate with map-side combine. Lists are ordered by a frequency sketch
     of fixed size over all texts, so the short (rare) lists come first and the long ones never need merging: a pair that shares T
-    sequences shares one among the n - T + 1 rarest of each. What those short lists hold in common are candidates; the rest of
-    each list is probed by binary search. No cap: a long list is merged row by row where a text has nothing rarer.
+    sequences shares one among the n - T + 1 rarest of each. Pairs whose occurrences in the short lists, with all that the long ones
+    could add, reach T are candidates; their other sequences are probed by binary search. No cap: a long list is merged row by row where a text has nothing rarer.
     """
     rows = docs.where((F.length("body") >= min_chars) & F.col("id").isNotNull()).select("id", "body")
     keyed = rows.select("id", F.xxhash64("body").alias("k1"), F.crc32("body").alias("k2"), F.length("body").alias("k3"))
     folded = keyed.groupBy("k1", "k2", "k3").agg(F.min("id").alias("rep"), F.count("*").alias("size"))
-    total = F.lit(max(1, rows.count()) / HOT)
-    many = folded.where(F.col("size") > 1)
-    hot, cold = many.where(F.col("size") >= total), many.where(F.col("size") < total)
+    many = written(folded.where(F.col("size") > 1))
+    total = max(1, rows.count())
+    hot, cold = many.where(F.col("size") * HOT >= total), many.where(F.col("size") * HOT < total)
     key = ["k1", "k2", "k3"]
-    copies = keyed.join(F.broadcast(hot), key).union(keyed.join(cold, key)).select("id", "rep")
-    others = copies.where(F.col("id") != F.col("rep")).select("id")
-    single = rows.join(others, "id", "left_anti")
-    counts = docs.sparkSession.sparkContext.broadcast(frequencies(rows, width))
-    short = single.mapInArrow(_short_lists(width, share, counts), "h bigint, id bigint, n int")
-    merged = short.repartition("h").sortWithinPartitions("h").mapInArrow(_merged(share), "a bigint, b bigint").where("a <> b").distinct()
-    sets = single.join(merged.select(F.col("a").alias("id")).union(merged.select(F.col("b").alias("id"))).distinct(), "id", "left_semi").mapInArrow(_sets(width), "id bigint, hs array<bigint>")
+    copies = written(keyed.join(F.broadcast(hot), key).union(keyed.join(cold, key)).select("id", "rep"))
+    # tables of known size from here on: Spark broadcasts them while they are small, and shuffles beyond
+    single = rows.join(copies.where(F.col("id") != F.col("rep")).select("id"), "id", "left_anti")
+    slots = frequencies(rows, width)
+    drop = max(0, 64 - max(40, SPARE_BITS + int(slots.sum(dtype=np.int64)).bit_length()))
+    counts = docs.sparkSession.sparkContext.broadcast(slots)
+    short = single.mapInArrow(_short_lists(width, share, counts, drop), "h bigint, id bigint, n int")
+    met = short.repartition("h").sortWithinPartitions("h").mapInArrow(_merged(share), "a bigint, b bigint, na int, nb int")
+    # common ones in the short lists, and at most all of the rest of one of the two
+    rest = F.greatest(F.ceil(share * F.col("na") - 1e-9), F.ceil(share * F.col("nb") - 1e-9)) - 1
+    needed = F.ceil((F.col("na") + F.col("nb")) * share / (1 + share) - 1e-9)
+    merged = written(met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c")).where(F.col("c") + rest >= needed).select("a", "b"))
+    ids = written(merged.select(F.col("a").alias("id")).union(merged.select(F.col("b").alias("id"))).distinct())
+    sets = single.join(ids, "id", "left_semi").mapInArrow(_sets(width), "id bigint, hs array<bigint>")
     left, right = sets.withColumnsRenamed({"id": "a", "hs": "x"}), sets.withColumnsRenamed({"id": "b", "hs": "y"})
-    links = merged.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_probed(share), "a bigint, b bigint")
+    links = written(merged.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_probed(share), "a bigint, b bigint"))
     return copies, links
 
 
