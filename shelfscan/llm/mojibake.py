@@ -34,6 +34,8 @@ BEFORE_WORD = frozenset("¿¡“‘„‚«‹–—•·§€£©…‐‑#°±
 #: Of the letters above those that need no second thought.
 FREQUENT = frozenset("àâäãçèéêíñóôõöùúûüßáąćęłńśźżÀÁÂÃÄÇÈÉÊÍÑÓÔÕÖÚÜĄĆĘŁŃŚŹŻ")
 AFTER_WORD = frozenset("”’»›…–—‐‑·•©®™°²³\xad¬€£%§ªº")
+#: A byte order mark in UTF-8 that was read as a western page.
+BOM = "ï»¿"
 POLISH = frozenset("ąćęłńóśźż")
 
 TOKEN = re.compile(r"[^ \t\n\r\f\v\u3000]*[^\x00-\x7f \t\n\r\f\v\u3000][^ \t\n\r\f\v\u3000]*")
@@ -275,7 +277,8 @@ def repair(text: str) -> tuple[str, bool]:
     """(restored text, whether a stretch was garbled). A stretch is a line's words that hold a non-ASCII character."""
     if text.isascii():
         return text, False
-    lines, found = text.split("\n"), False
+    found = BOM in text
+    lines = text.replace(BOM, "").split("\n")
     for i, line in enumerate(lines):
         if line.isascii():
             continue
