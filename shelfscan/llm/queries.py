@@ -48,6 +48,18 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return images.union(neighbour_pairs(simhash, 5, 3).select(F.lit("simhash").alias("field"), "id_a", "id_b"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    from shelfscan.llm.scans import scanned
+
+    return scanned(load(spark, d, "docs")).select("id")
+
+
+def p7_repaired(spark: SparkSession, d: str) -> DataFrame:
+    from shelfscan.llm.scans import scanned
+
+    return scanned(load(spark, d, "docs"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     from shelfscan.llm.encoding import token_ids
 
@@ -70,7 +82,7 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p8_ids": p8_ids,
+    "p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found, "p7_repaired": p7_repaired, "p8_ids": p8_ids,
     "p8_decoded": p8_decoded, "p9_containers": p9_containers,
 }
 
