@@ -81,9 +81,15 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return containers(sizes)
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    from shelfscan.llm.topics import subjects_of
+
+    return subjects_of(load(spark, d, "documents"), load(spark, d, "doc_labels"), load(spark, d, "subjects"))
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found, "p7_repaired": p7_repaired, "p8_ids": p8_ids,
-    "p8_decoded": p8_decoded, "p9_containers": p9_containers,
+    "p8_decoded": p8_decoded, "p9_containers": p9_containers, "p10_found": p10_found,
 }
 
 SQL = {
