@@ -42,6 +42,7 @@ WORD = re.compile(r"[^\W\d_]+(?:[0-9!@|$][^\W\d_]+)*")
 INNER = re.compile(r"(?<=[^\W\d_])[0-9!@|$](?=[^\W\d_])")
 HYPHENS = "-‐¬\xad"
 CUT = re.compile(rf"([^\W\d_]+)[{HYPHENS}]$")
+BREAK = re.compile(rf"[^\W\d_][{HYPHENS}][ \t\r]*\n")
 NUMBER = re.compile(r"\d{1,4}")
 #: A lone sign in running text.
 SPECK = re.compile(r"(?<=\S) (?:[|^~·•¦`´]|[.,'] ?,) (?=\S)")
@@ -272,34 +273,42 @@ def mend(word: str, fixes: dict[str, str]) -> str:
 def repair(text: str, fixes: dict[str, str]) -> tuple[str, bool]:
     """(text as continuous paragraphs, whether it carries traces of scanning)."""
     lines = text.split("\n")
-    page = running(lines) >= 2
-    gone = furniture(lines) if page else set()
-    kept = [(k, line.strip()) for k, line in enumerate(lines) if k not in gone]
+    if running(lines) < 2:
+        return text, False
+    gone = furniture(lines)
+    if not (gone or fixes or INNER.search(text) or BREAK.search(text)):
+        return text, False
     out: list[str] = []
-    cuts, broken, blank = 0, False, True
-    for n, (k, line) in enumerate(kept):
+    cuts, broken = 0, False
+    for k, line in enumerate(lines):
+        if k in gone:
+            continue
+        line = line.strip()
         if not line:
             # an empty line beside furniture ends no paragraph
             broken = broken or not ({k - 1, k + 1} & gone) or bool(out) and bool(END.search(out[-1]))
             continue
-        if out and not broken and page or out and page and CUT.search(out[-1]) and line[0].islower():
-            m = CUT.search(out[-1])
-            if m and line[0].islower():
-                cuts += 1
-                out[-1] = out[-1][: m.end() - 1] + line
-            else:
-                out[-1] += " " + line
+        cut = out and line[0].islower() and CUT.search(out[-1])
+        if cut:
+            cuts += 1
+            out[-1] = out[-1][: cut.end() - 1] + line
+        elif out and not broken:
+            out[-1] += " " + line
         else:
             out.append(line)
-        broken = not page
-    if not page:
-        return text, False
-    body = "\n\n".join(out)
-    misread = sum(mend(w, fixes) != w for w in WORD.findall(body))
+        broken = False
+    misread = 0
+
+    def mended(m):
+        nonlocal misread
+        word = mend(m[0], fixes)
+        misread += word != m[0]
+        return word
+
+    body = WORD.sub(mended, "\n\n".join(out))
     if not (cuts or gone or misread):
         return text, False
-    body = SPECK.sub(" ", body)
-    return WORD.sub(lambda m: mend(m[0], fixes), body), True
+    return SPECK.sub(" ", body), True
 
 
 def scanned(docs: DataFrame) -> DataFrame:
@@ -315,7 +324,7 @@ def scanned(docs: DataFrame) -> DataFrame:
     rows = docs.where(F.col("id").isNotNull() & (F.length("body") > 0)).select("id", "body")
     known = written(readings(rows))
     # a superset of running(), which decides
-    pages = rows.where(F.regexp_count("body", F.lit(r"[^\s.!?:;…][ \t\r]*\n[ \t]*\S")) >= 2)
+    pages = written(rows.where(F.col("body").rlike(r"\n(?<=[^\s.!?:;…][ \t\r]{0,2}\n)(?=[ \t]*\S)")))
     words = pages.select("id", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(r"\p{L}+(?:[0-9!@|$]\p{L}+)*"), F.lit(0)))).alias("rare"))
     fixes = words.join(known, "rare").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("rare", "word"))).alias("fixes"))
 
