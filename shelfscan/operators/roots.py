@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Up to so many roots their paths become literals of one expression (no join at all).
-LITERAL_ROOTS = 256
+LITERAL_ROOTS = 64
 
 
 def root_key(path: Column) -> Column:
