@@ -24,6 +24,8 @@ WIDE = ("utf_16_le", "utf_16_be")
 EXPANSIONS = 24
 #: A restored stretch costs at most this share of what it cost, and less by at least GAIN.
 SHARE, GAIN = 0.6, 1.5
+#: Priority of a text that came out of UTF-8, against its cost.
+UTF8_FIRST = 0.3
 #: A stretch that is less odd is not searched.
 SUSPECT = 1.5
 
@@ -200,7 +202,7 @@ def _decoded(raw: bytes, page: str) -> str | None:
 
 
 #: What two bytes of ASCII or more make when read as one character.
-RUN = re.compile(r"[\u2000-\u200f\u2020-\u20ff\u2100-\uffff]{3,}")
+RUN = re.compile(r"[\u0a0a-\u0a7e\u0d0a-\u0d7e\u2000-\uffff]{3,}")
 
 
 @lru_cache(maxsize=100_000)
@@ -211,7 +213,8 @@ def _narrowed(run: str, source: str, target: str) -> str:
     if not out or target in WIDE:
         return out or run
     mixed = sum(a.isdigit() and b.isalpha() or a.isalpha() and b.isdigit() for a, b in zip(out, out[1:]))
-    return out if mixed <= 0.15 * len(out) and sum(c.isascii() for c in out) >= 0.8 * len(out) else run
+    plain = sum(c.islower() or c.isspace() or c.isdigit() for c in out)
+    return out if mixed <= 0.15 * len(out) and plain >= 0.7 * len(out) and sum(c.isascii() for c in out) >= 0.7 * len(out) else run
 
 
 def _step(token: str, source: str, target: str) -> str:
@@ -242,15 +245,15 @@ def restore(tokens: tuple[str, ...]) -> tuple[tuple[str, ...], float, float]:
     first = sum(map(cost, tokens))
     first_odd = sum(plausibility(t)[1] for t in tokens)
     best, best_cost = tokens, first
-    heap, seen, expanded, order = [(first, 0, tokens)], {_state(tokens)}, 0, 0
+    heap, seen, expanded, order = [(first, 0, first, tokens)], {_state(tokens)}, 0, 0
     while heap and expanded < EXPANSIONS:
-        c, _, state = heapq.heappop(heap)
+        _, _, c, state = heapq.heappop(heap)
         if c < first and sum(plausibility(t)[1] for t in state) <= 0.05 * first_odd:
             break
         expanded += 1
-        nexts = [tuple(_step(t, a, b) for t in state) for a, b in EDGES]
-        nexts.append(tuple(html.unescape(t) for t in state))
-        for new in nexts:
+        nexts = [(b, tuple(_step(t, a, b) for t in state)) for a, b in EDGES]
+        nexts.append(("", tuple(html.unescape(t) for t in state)))
+        for target, new in nexts:
             if (h := _state(new)) in seen:
                 continue
             seen.add(h)
@@ -259,7 +262,8 @@ def restore(tokens: tuple[str, ...]) -> tuple[tuple[str, ...], float, float]:
             if new_cost < best_cost - 1e-9:
                 best, best_cost = new, new_cost
             if new_cost < c:
-                heapq.heappush(heap, (new_cost, order, new))
+                # what decodes as UTF-8 seldom does so by chance: it is looked into first
+                heapq.heappush(heap, (new_cost * (UTF8_FIRST if target == "utf_8" else 1), order, new_cost, new))
     return best, best_cost, first
 
 
