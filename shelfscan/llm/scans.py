@@ -38,7 +38,8 @@ GLYPHS = (
 #: Strokes that glyphs fall into; words of one skeleton may stand for each other.
 STROKES = {"m": "riii", "w": "cc", "v": "c", "y": "c", "d": "ci", "n": "ri", "h": "ii", "b": "ii", "u": "ii", "ü": "ii", "ú": "ii", "e": "c", "f": "t", "l": "i", "j": "i", "1": "i", "!": "i", "|": "i", "0": "o", "@": "a", "9": "g", "5": "s", "$": "s", "8": "ii", "6": "ii", "(": "c", "ы": "ьі", "ﬁ": "ti", "ﬂ": "ti"}
 
-WORD = re.compile(r"[^\W\d_]+(?:[0-9!@|$][^\W\d_]+)*")
+#: Words, and words with a sign or digit inside; none beside a character that was lost.
+WORD = re.compile(r"(?<![^\W\d_]|\ufffd)[^\W\d_]+(?:[0-9!@|$][^\W\d_]+)*(?![^\W\d_]|\ufffd)")
 INNER = re.compile(r"(?<=[^\W\d_])[0-9!@|$](?=[^\W\d_])")
 HYPHENS = "-‐¬\xad"
 CUT = re.compile(rf"([^\W\d_]+)[{HYPHENS}]$")
@@ -98,7 +99,7 @@ def _bare(batches):
 
 def _edited(batches):
     for batch in batches:
-        edits = [glyph_edits(a, b) for a, b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
+        edits = [glyph_edits(a, b, min(3, max(1, len(b) // 3))) for a, b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
         keep = pa.array([e is not None for e in edits])
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([e or 0 for e in edits], pa.int32())], ["rare", "rare_df", "word", "df", "edits"]).filter(keep)
 
@@ -220,6 +221,11 @@ def readings(docs: DataFrame) -> DataFrame:
     return chosen.groupBy("rare").agg(F.max(F.struct("worth", "word")).alias("x")).select("rare", F.col("x.word").alias("word"))
 
 
+#: A page's number: bare, in brackets, between dashes, after a short word, of so many.
+NUMBERED = r"(?:[^\W\d_]{1,7}\.? )?\d{1,4}(?: ?/ ?\d{1,4}| ?\(\d{1,4}\))?"
+PAGE = re.compile(rf"{NUMBERED}|[-–—]+ ?{NUMBERED} ?[-–—]+|\({NUMBERED}\)|\[{NUMBERED}\]")
+# What stands before a page's number in the languages dealt with.
+MARKED_PAGE = re.compile(r"[-–—]+ ?\d+ ?[-–—]+|(?:p|page|pág|página|seite|s|str|strona|стр|страница)\b", re.I)
 END = re.compile(r"""[.!?:;…]["”»’)]*$""")
 DRAWN = re.compile(r"[│┌┐└┘├┤┬┴┼─|]")
 
@@ -239,6 +245,13 @@ def furniture(lines: list[str]) -> set[int]:
             apart = all(any(lines[j].strip() for j in range(a + 1, b)) for a, b in zip(at, at[1:]))
             if apart and all(1 <= s <= 2 for s in steps):
                 numbers |= set(at)
+    for k, line in enumerate(lines):  # one alone: in the middle of a sentence, or marked as one at the end
+        s = line.strip()
+        if k and PAGE.fullmatch(s):
+            before = next((x.strip() for x in reversed(lines[:k]) if len(x.strip()) >= 25), "")
+            after = any(x.strip() for x in lines[k + 1 :])
+            if before and len(before) <= LONG_LINE and not DRAWN.search(before) and (after and not END.search(before) or not after and MARKED_PAGE.match(s)):
+                numbers.add(k)
     for key, at in groups.items():
         if len(at) < 2 or set(at) & numbers or sum(c.isalpha() for c in key) < 3:
             continue
@@ -266,6 +279,8 @@ def mend(word: str, fixes: dict[str, str]) -> str:
         return fixes[word]
     if INNER.search(word) and any(c.islower() for c in word):
         signs = {"1": "l", "!": "i", "|": "l", "0": "o", "@": "a", "9": "g", "5": "s", "8": "b", "6": "b", "$": "s"}
+        if re.search("[а-яё]", word):
+            signs |= {"0": "о", "@": "а"}
         return INNER.sub(lambda m: signs.get(m[0], m[0]), word)
     return word
 
