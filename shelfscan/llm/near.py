@@ -105,11 +105,12 @@ def _short_lists(width: int, share: float, counts, drop: int):
             row, h = shingles(batch.column(1).to_pylist(), width)
             if not len(row):
                 continue
-            order = np.lexsort((h, counts.value[_slot(h)], row))
-            row, h = row[order], h[order]
+            # one number to order by: the frequency, then the hash
+            key = np.minimum(counts.value[_slot(h)], 0xFFFF).astype(np.uint64) << np.uint64(48) | h >> np.uint64(16)
             n = np.bincount(row, minlength=batch.num_rows)
-            place = np.arange(len(row)) - np.concatenate([[0], np.cumsum(n)])[row]
-            keep = place <= (n - _least(share, n))[row]
+            starts = np.concatenate([[0], np.cumsum(n)])
+            first = n - _least(share, n) + 1
+            keep = np.concatenate([s + np.argpartition(key[s : s + m], k - 1)[:k] for s, m, k in zip(starts, n, first) if m])
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([pa.array((h[keep] >> np.uint64(drop)).view(np.int64)), pa.array(ids[row[keep]]), pa.array(n[row[keep]].astype(np.int32))], ["h", "id", "n"])
 
