@@ -237,8 +237,10 @@ def _near(node: Near, starts: list[Column]) -> list[Column]:
     return [F.filter(s, lambda y: reduce(lambda a, b: a | b, (holds(y, i) for i in range(len(starts))))) for s in starts]
 
 
-def _hits(posts: DataFrame, node) -> tuple[DataFrame, list[Column], Column]:
-    """One row a text that holds any needed word, the positions of each phrase, and whether the text matches."""
+def _hits(posts: DataFrame, node) -> tuple[DataFrame, int, Column, list[Column]]:
+    """One row a text that holds any needed word: p0, p1, ... the positions of each phrase (within reach, in a NEAR), r0, r1, ... whether it is
+    there at all; the number of phrases, whether the text matches, and for each phrase whether it bears on the match: the operators
+    around it hold, and it is not what a NOT excludes."""
     phrases = _phrases(node)
     atoms = sorted({(w, p.prefix and k == len(p.words) - 1) for p in phrases for k, w in enumerate(p.words)})
     tests = [F.col("term").startswith(w) if prefix else F.col("term") == w for w, prefix in atoms]
@@ -249,18 +251,26 @@ def _hits(posts: DataFrame, node) -> tuple[DataFrame, list[Column], Column]:
     )
     at = {a: F.col(f"a{i}") for i, a in enumerate(atoms)}
     columns: list[Column] = []
+    bears: list[list[Column]] = []
 
-    def walk(n) -> Column:
+    def walk(n) -> tuple[Column, list[int]]:
         if isinstance(n, Op):
-            left, right = walk(n.left), walk(n.right)
-            return {"and": left & right, "or": left | right, "not": left & ~right}[n.kind]
-        own = _near(n, [_starts(p, at) for p in n.phrases]) if isinstance(n, Near) else [_starts(n, at)]
-        names = [f"p{len(columns) + k}" for k in range(len(own))]
-        columns.extend(c.alias(x) for c, x in zip(own, names))
-        return reduce(lambda a, b: a & b, (F.size(x) > 0 for x in names))
-
-    matched = walk(node)
-    return grouped.select("id", "length", *columns), [F.col(f"p{k}") for k in range(len(columns))], matched
+            (left, i), (right, j) = walk(n.left), walk(n.right)
+            held = {"and": left & right, "or": left | right, "not": left & ~right}[n.kind]
+            for k in i + j if n.kind == "and" else i if n.kind == "not" else []:
+                bears[k].append(held)
+            for k in j if n.kind == "not" else []:
+                bears[k].append(F.lit(False))
+            return held, i + j
+        raw = [_starts(p, at) for p in (n.phrases if isinstance(n, Near) else [n])]
+        numbers = list(range(len(bears), len(bears) + len(raw)))
+        for k, own, there in zip(numbers, _near(n, raw) if isinstance(n, Near) else raw, raw):
+            columns.extend([own.alias(f"p{k}"), (F.size(there) > 0).alias(f"r{k}")])
+            bears.append([])
+        return reduce(lambda a, b: a & b, (F.size(f"p{k}") > 0 for k in numbers)), numbers
+
+    matched, numbers = walk(node)
+    return grouped.select("id", "length", *columns), len(numbers), matched, [reduce(lambda a, b: a & b, x, F.lit(True)) for x in bears]
 
 
 def _node(query):
@@ -269,7 +279,7 @@ def _node(query):
 
 def matching(docs: DataFrame, query, posts: DataFrame | None = None) -> DataFrame:
     """id of the texts that match (a text to parse, or an expression). Null and empty texts never match; no words, no match."""
-    rows, _, matched = _hits(posts if posts is not None else postings(docs), _node(query))
+    rows, _, matched, _ = _hits(posts if posts is not None else postings(docs), _node(query))
     return rows.where(matched).select("id")
 
 
@@ -277,17 +287,17 @@ def ranked(docs: DataFrame, query, posts: DataFrame | None = None) -> DataFrame:
     """id, score of the texts that match; the lower the better (bm25, negated). The number of texts, their mean length
     and the texts each phrase is in are counted over all texts first: one row of figures."""
     posts = posts if posts is not None else postings(docs)
-    rows, columns, matched = _hits(posts, _node(query))
+    rows, phrases, matched, bears = _hits(posts, _node(query))
     figures = docs.where(F.col("id").isNotNull() & F.col("body").isNotNull()).agg(F.count("*").alias("n"), F.sum(F.size(tokens(F.col("body")))).alias("all")).collect()[0]
-    if not figures["n"] or not columns:
+    if not figures["n"] or not phrases:
         return rows.where(matched).select("id", F.lit(0.0).alias("score"))
-    within = rows.agg(*(F.count_if(F.size(c) > 0).alias(f"n{k}") for k, c in enumerate(columns))).collect()[0]
+    within = rows.agg(*(F.count_if(f"r{k}").alias(f"n{k}") for k in range(phrases))).collect()[0]
     mean = max(1e-9, (figures["all"] or 0) / figures["n"])
     score = F.lit(0.0)
-    for k, c in enumerate(columns):
+    for k in range(phrases):
         n = F.lit(float(within[k]))
         idf = F.greatest(F.log((F.lit(float(figures["n"])) - n + 0.5) / (n + 0.5)), F.lit(LEAST_IDF))
-        f = F.size(c).cast("double")
+        f = F.when(bears[k], F.size(f"p{k}")).otherwise(0).cast("double")
         score = score - idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("length") / mean))
     return rows.where(matched).select("id", score.alias("score"))
 
