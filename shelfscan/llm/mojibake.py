@@ -40,7 +40,7 @@ AFTER_WORD = frozenset("”’»›…–—‐‑·•©®™°²³\xad¬€£%
 BOM = "ï»¿"
 POLISH = frozenset("ąćęłńóśźż")
 
-TOKEN = re.compile(r"[^ \t\n\r\f\v\u3000]*[^\x00-\x7f \t\n\r\f\v\u3000][^ \t\n\r\f\v\u3000]*")
+TOKEN = re.compile(r"[^ \t\n\r\f\v\u3000]+")
 
 
 def _tables():
@@ -63,6 +63,8 @@ def _kind(c: str) -> str:
     o = ord(c)
     if o < 128:
         return "a" if o >= 32 or c in "\t\n\r" else "X"
+    if 0xFB00 <= o <= 0xFB06:  # ligatures of ASCII letters
+        return "a"
     if c == "�" or 0x80 <= o < 0xA0 or unicodedata.category(c) in ("Co", "Cn", "Cs", "Cc"):
         return "X"
     if c in QUOTES:
@@ -286,7 +288,7 @@ def repair(text: str) -> tuple[str, bool]:
     for i, line in enumerate(lines):
         if line.isascii():
             continue
-        tokens = TOKEN.findall(line)
+        tokens = [t for t in TOKEN.findall(line) if not t.isascii()]
         if sum(plausibility(t)[1] for t in tokens) < SUSPECT:
             continue
         suspects = tuple(dict.fromkeys(tokens))

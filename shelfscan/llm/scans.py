@@ -36,7 +36,7 @@ GLYPHS = (
     ("ы", "ьі"), ("ьі", "ы"),
 )
 #: Strokes that glyphs fall into; words of one skeleton may stand for each other.
-STROKES = {"m": "riii", "w": "cc", "v": "c", "y": "c", "d": "ci", "n": "ri", "h": "ii", "b": "ii", "u": "ii", "ü": "ii", "ú": "ii", "e": "c", "f": "t", "l": "i", "j": "i", "1": "i", "!": "i", "|": "i", "0": "o", "@": "a", "9": "g", "5": "s", "$": "s", "8": "ii", "6": "ii", "(": "c", "ы": "ьі", "ﬁ": "ti", "ﬂ": "ti"}
+STROKES = {"m": "rri", "w": "cc", "v": "c", "y": "c", "d": "ci", "n": "ri", "h": "ii", "b": "ii", "u": "ii", "ü": "ii", "ú": "ii", "e": "c", "f": "t", "l": "i", "j": "i", "1": "i", "!": "i", "|": "i", "0": "o", "@": "a", "9": "g", "5": "s", "$": "s", "8": "ii", "6": "ii", "(": "c", "ы": "ьі", "ﬁ": "ti", "ﬂ": "ti"}
 
 #: Words, and words with a sign or digit inside; none beside a character that was lost.
 WORD = re.compile(r"(?<![^\W\d_]|\ufffd)[^\W\d_]+(?:[0-9!@|$][^\W\d_]+)*(?![^\W\d_]|\ufffd)")
@@ -50,7 +50,7 @@ SPECK = re.compile(r"(?<=\S) (?:[|^~·•¦`´]|[.,'] ?,) (?=\S)")
 
 
 def skeleton(word: str) -> str:
-    return "".join(STROKES.get(c, c) for c in word.lower().replace("rn", "m"))
+    return "".join(STROKES.get(c, c) for c in word.lower())
 
 
 def glyph_edits(rare: str, frequent: str, most: int = 3) -> int | None:
@@ -266,7 +266,7 @@ def furniture(lines: list[str]) -> set[int]:
 
 def skeleton_of_header(s: str) -> str:
     """A header is misread here and there, its numbers are kept."""
-    return "".join(c if c.isdigit() else STROKES.get(c, c) for c in s.lower().replace("rn", "m"))
+    return "".join(c if c.isdigit() else STROKES.get(c, c) for c in s.lower())
 
 
 def running(lines: list[str]) -> int:

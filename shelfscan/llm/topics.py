@@ -23,29 +23,48 @@ SURE, TEACH = 0.8, 4
 #: Levels of the share-valued functions.
 LEVELS = 20
 ROUNDS = 30
+#: A subject that fewer of the sentences tell is a passing mention.
+LEAST_SECTION = 0.2
 WORD = re.compile(r"[^\W\d_]{3,}")
 SENTENCE = re.compile(r"[^.!?;\n]+")
 ADDRESS = re.compile(r"[\w.+-]+@[\w.-]+|https?://\S+|(?:/[\w.-]+){2,}")
 
 
 def _seed_counts(batches):
-    held: Counter = Counter()
+    held: dict = {}
     for batch in batches:
         for text, subject in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for w in {x.lower() for x in WORD.findall(text)}:
-                held[w, subject] += 1
+            _count(held, Counter(x.lower() for x in WORD.findall(text)), subject)
     yield _count_rows(held)
 
 
-def _count_rows(held: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.int32()), pa.array(list(held.values()), pa.int64())], ["word", "subject", "n"])
+#: A word counts at most so many times a document: what a text is about is said again and again, but one text is one voice.
+REPEATS = 5
+
+
+def _count(held: dict, words: Counter, subject: int) -> None:
+    for w, n in words.items():
+        at = held.get((w, subject))
+        if at is None:
+            held[w, subject] = [min(n, REPEATS), 1]
+        else:
+            at[0] += min(n, REPEATS)
+            at[1] += 1
+
+
+COUNTED = "word string, subject int, n bigint, docs bigint"
+
+
+def _count_rows(held: dict) -> pa.RecordBatch:
+    columns = [pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.int32()), *(pa.array([v[i] for v in held.values()], pa.int64()) for i in range(2))]
+    return pa.RecordBatch.from_arrays(columns, ["word", "subject", "n", "docs"])
 
 
 def _lexicon(counts: DataFrame) -> dict[str, int]:
-    """word -> subject of counts(word, subject, n), of words that tell: at most LEXICON a subject reach the driver."""
-    words = counts.groupBy("word", "subject").agg(F.sum("n").alias("n"))
-    per = words.groupBy("word").agg(F.sum("n").alias("all"), F.max(F.struct("n", (-F.col("subject")).alias("s"))).alias("x"))
-    told = per.select("word", (-F.col("x.s")).alias("subject"), F.col("x.n").alias("n"), ((F.col("x.n") + 0.5) / (F.col("all") + 2)).alias("share"))
+    """word -> subject of counts(word, subject, n, docs), of words that tell: at most LEXICON a subject reach the driver."""
+    words = counts.groupBy("word", "subject").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    per = words.groupBy("word").agg(F.sum("n").alias("all"), F.max(F.struct("n", (-F.col("subject")).alias("s"), "docs")).alias("x"))
+    told = per.select("word", (-F.col("x.s")).alias("subject"), F.col("x.docs").alias("n"), ((F.col("x.n") + 0.5) / (F.col("all") + 2)).alias("share"))
     kept = told.where((F.col("n") >= SEEN) & (F.col("share") >= TELLING)).withColumn("r", F.row_number().over(Window.partitionBy("subject").orderBy(F.desc(F.col("share") * F.log1p("n")), "word")))
     return {r["word"]: r["subject"] for r in kept.where(F.col("r") <= LEXICON).select("word", "subject").collect()}
 
@@ -54,7 +73,7 @@ def _taught(lexicon: dict[str, int], count: int):
     """(word, subject, n) of documents that are surely about one subject."""
 
     def run(batches):
-        held: Counter = Counter()
+        held: dict = {}
         for batch in batches:
             for text in batch.column(1).to_pylist():
                 words = Counter(x.lower() for x in WORD.findall(text))
@@ -63,12 +82,10 @@ def _taught(lexicon: dict[str, int], count: int):
                     votes[lexicon[w]] += words[w]
                 best = max(votes)
                 if best >= TEACH and best >= SURE * sum(votes):
-                    subject = votes.index(best)
-                    for w in words:
-                        held[w, subject] += 1
+                    _count(held, words, votes.index(best))
             if len(held) > 400_000:
                 yield _count_rows(held)
-                held = Counter()
+                held = {}
         yield _count_rows(held)
 
     return run
@@ -128,7 +145,8 @@ def _posterior(patterns: np.ndarray, counts: np.ndarray, known: np.ndarray) -> n
     share = patterns[:, 0] / LEVELS
     p = np.full((3, len(patterns)), 0.02)
     p[0, share < 0.22], p[1, (share >= 0.22) & (share < 0.78)], p[2, share >= 0.78] = 0.96, 0.96, 0.96
-    p[:, patterns[:, 1] < 0.1 * LEVELS] = np.array([[0.96], [0.02], [0.02]])
+    passing = patterns[:, 1] < LEAST_SECTION * LEVELS
+    p[:, passing] = np.array([[0.96], [0.02], [0.02]])
     for _ in range(ROUNDS):
         about = p[1:] / p[1:].sum(0)
         weight = p * counts
@@ -145,6 +163,7 @@ def _posterior(patterns: np.ndarray, counts: np.ndarray, known: np.ndarray) -> n
                 score[y] += np.log(table[patterns[:, k]]) * (1 if k < 1 else 0.5)
         new = np.exp(score - score.max(0))
         new /= new.sum(0)
+        new[:, passing] = np.array([[0.96], [0.02], [0.02]])
         done = np.abs(new - p).max() < 1e-4
         p = new
         if done:
@@ -173,8 +192,8 @@ def subjects_of(documents: DataFrame, labels: DataFrame, subjects: DataFrame) ->
     labelled = written(labelled.join(sample, "doc_id"))
     single = labelled.groupBy("doc_id").agg(F.min("subject").alias("subject"), F.count("*").alias("n")).where(F.col("n") == 1)
     # the labelled are few by their bound: what they join is cut down before it moves
-    seed = _lexicon(docs.join(F.broadcast(single), "doc_id").select("text", "subject").mapInArrow(_seed_counts, "word string, subject int, n bigint"))
-    lexicon = _lexicon(docs.select("doc_id", "text").mapInArrow(_taught(seed, len(names)), "word string, subject int, n bigint")) if seed else {}
+    seed = _lexicon(docs.join(F.broadcast(single), "doc_id").select("text", "subject").mapInArrow(_seed_counts, COUNTED))
+    lexicon = _lexicon(docs.select("doc_id", "text").mapInArrow(_taught(seed, len(names)), COUNTED)) if seed else {}
     lexicon = seed | lexicon
     by_source = docs.where(F.col("source").isNotNull()).join(F.broadcast(single), "doc_id").groupBy("source", "subject").agg(F.count("*").alias("n"))
     most = by_source.groupBy("source").agg(F.sum("n").alias("all"), F.max(F.struct("n", "subject")).alias("x")).where((F.col("all") >= 10) & (F.col("x.n") >= 0.6 * F.col("all")))
