@@ -159,3 +159,48 @@ def dhash_of_pixels(pixels: Column) -> Column:
             a, b = pixels[r * 8 + column(c)], pixels[r * 8 + column(c + 1)]
             out = out.bitwiseOR(F.when(a > b, F.shiftleft(F.lit(1).cast("bigint"), r * 8 + c)).otherwise(F.lit(0).cast("bigint")))
     return out
+
+
+def merged(files: DataFrame, found: DataFrame) -> DataFrame:
+    """files with the hashes and types of found(id, phash, fhash, kind): a new value counts, a missing one leaves the old. One left join by id."""
+    new = found.select(F.col("id").alias("__id"), *(F.col(c).alias(f"__{c}") for c in ("phash", "fhash", "kind")))
+    joined = files.join(new, F.col("id") == F.col("__id"), "left")
+    return joined.select(*(F.coalesce(f"__{c}", c).alias(c) if c in ("phash", "fhash", "kind") else F.col(c) for c in files.columns))
+
+
+def with_simhashes(files: DataFrame, docs: DataFrame, algorithm: str = "blake2b") -> DataFrame:
+    """files with the simhashes that texts of enough characters lack; others stay."""
+    lacking = files.where((F.col("chars") >= SIMHASH_MIN_CHARS) & F.col("simhash").isNull()).select("id")
+    new = simhash(docs.join(lacking, "id", "left_semi"), algorithm, least=0).select(F.col("id").alias("__id"), F.col("simhash").alias("__new"))
+    joined = files.join(new, F.col("id") == F.col("__id"), "left")
+    return joined.select(*(F.coalesce("simhash", "__new").alias("simhash") if c == "simhash" else F.col(c) for c in files.columns))
+
+
+def _read(path: str, size: int | None, full: bool) -> tuple:
+    """phash, fhash, kind of a file; unreadable is a type of its own, a file that is gone has none."""
+    try:
+        with open(path, "rb") as f:
+            head = f.read(PARTIAL_BYTES)
+            whole = hashlib.blake2b(head, digest_size=32)
+            if len(head) == PARTIAL_BYTES and full:
+                while chunk := f.read(1 << 20):
+                    whole.update(chunk)
+        known = full or len(head) < PARTIAL_BYTES
+        return hashlib.blake2b(head, digest_size=16).hexdigest(), whole.hexdigest() if known else None, sniff(head, size)
+    except FileNotFoundError:
+        return None, None, None
+    except OSError:
+        return None, None, "unreadable"
+
+
+def read_files(jobs: DataFrame, full: bool) -> DataFrame:
+    """id, phash, fhash, kind of the files of jobs(id, path, size), read where all executors see them; the largest first, spread evenly."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            found = [_read(p, s, full) for p, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[k] for x in found], pa.string()) for k in range(3))], ["id", "phash", "fhash", "kind"])
+
+    spread = jobs.repartition(F.xxhash64("id")).sortWithinPartitions(F.desc("size"))
+    return spread.select("id", "path", "size").mapInArrow(run, "id bigint, phash string, fhash string, kind string")

@@ -87,3 +87,10 @@ def move(rows: DataFrame, moves: DataFrame, column: str = "path") -> DataFrame:
     rest = F.substr(F.col(column), F.length("__from") + 1)
     kept = F.when(F.col("__to").isNull(), F.col(column)).when(rest == "", F.col("__to")).otherwise(F.concat(F.col("__to"), F.when(F.col("__to").rlike(r"^[A-Za-z]:|\\\\"), "\\").otherwise("/"), F.substr(rest, F.lit(2))))
     return joined.withColumn(column, kept).select(*rows.columns)
+
+
+def translate(roots: list[str], moves: dict[str, str]) -> list[str]:
+    """The roots a caller named, with those that moved replaced; drives and shares compared without case."""
+    norm = lambda p: (p.lower() if "\\" in p else p).rstrip("/\\")
+    to = {norm(a): b for a, b in moves.items()}
+    return [to.get(norm(r), r) for r in roots]
