@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfscan.functions.constants import PARTIAL_BYTES, SIMHASH_MAX_CHARS, SIMHASH_MIN_CHARS
+from shelfscan.session import spread
 
 # How contents begin, in the order tried; offset, bytes, label.
 SIGNATURES = (
@@ -123,7 +124,8 @@ def simhash(docs: DataFrame, algorithm: str = "blake2b", least: int = SIMHASH_MI
         return int(np.packbits(2 * votes > len(w) - 2, bitorder="little").view("<i8")[0])
 
     udf = F.pandas_udf(lambda s: pd.Series([one(t) for t in s], dtype="Int64"), "bigint")
-    return docs.where(F.length("body") >= least).select("id", udf("body").alias("simhash"))
+    rows = spread(docs.where(F.length("body") >= least).select("id", "body"), "id")
+    return rows.select("id", udf("body").alias("simhash"))
 
 
 def dhash(grey: bytes, width: int, height: int) -> int | None:

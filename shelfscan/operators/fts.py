@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfscan.session import spread
+
 TOKEN = r"[\p{L}\p{N}\p{Co}]+"
 #: Saturation and length weight of the ranking, and the least weight of a term.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -39,10 +41,15 @@ def tokens(body: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.lower(body), MARKED, BARE), F.lit(TOKEN), F.lit(0))
 
 
+def _tokenized(docs: DataFrame) -> DataFrame:
+    """id, t of the texts that count: with an id and not null."""
+    return spread(docs.where(F.col("id").isNotNull() & F.col("body").isNotNull()).select("id", "body"), "id").select("id", tokens(F.col("body")).alias("t"))
+
+
 def postings(docs: DataFrame) -> DataFrame:
     """term, id, at (positions in order), length (tokens of the text) of docs(id, body). Null bodies have none. Sorted by term
     when stored, a term or prefix filter reads only its row groups."""
-    rows = docs.where(F.col("id").isNotNull()).select("id", tokens(F.col("body")).alias("t")).where(F.size("t") > 0)
+    rows = _tokenized(docs).where(F.size("t") > 0)
     spread = rows.select("id", F.size("t").alias("length"), F.posexplode("t").alias("pos", "term"))
     return spread.groupBy("term", "id", "length").agg(F.sort_array(F.collect_list("pos")).alias("at")).select("term", "id", "at", "length")
 
@@ -237,18 +244,28 @@ def _near(node: Near, starts: list[Column]) -> list[Column]:
     return [F.filter(s, lambda y: reduce(lambda a, b: a | b, (holds(y, i) for i in range(len(starts))))) for s in starts]
 
 
-def _hits(posts: DataFrame, node) -> tuple[DataFrame, int, Column, list[Column]]:
-    """One row a text that holds any needed word: p0, p1, ... the positions of each phrase (within reach, in a NEAR), r0, r1, ... whether it is
+def _positions(docs: DataFrame, posts: DataFrame | None, atoms: list[tuple[str, bool]]) -> DataFrame:
+    """id, length, a0, a1, ...: where in a text each atom (a word, or words that begin so) stands. From the texts themselves it is a row a text and
+    nothing moves; from stored postings a row a text that holds an atom, of which only their row groups are read."""
+    fits = lambda x, a: x.startswith(a[0]) if a[1] else x == a[0]
+    if posts is None:
+
+        def at(a):
+            return F.filter(F.transform("t", lambda x, i: F.when(fits(x, a), i)), lambda i: i.isNotNull())
+
+        return _tokenized(docs).select("id", F.size("t").alias("length"), *(at(a).alias(f"a{k}") for k, a in enumerate(atoms)))
+    tests = [fits(F.col("term"), a) for a in atoms]
+    needed = posts.where(reduce(lambda a, b: a | b, tests, F.lit(False)))
+    lists = (F.sort_array(F.flatten(F.collect_list(F.when(t, F.col("at"))))).alias(f"a{k}") for k, t in enumerate(tests))
+    return needed.groupBy("id").agg(F.first("length").alias("length"), *lists)
+
+
+def _hits(docs: DataFrame, posts: DataFrame | None, node) -> tuple[DataFrame, int, Column, list[Column]]:
+    """Rows of _positions with p0, p1, ... the positions of each phrase (within reach, in a NEAR), r0, r1, ... whether it is
     there at all; the number of phrases, whether the text matches, and for each phrase whether it bears on the match: the operators
     around it hold, and it is not what a NOT excludes."""
     phrases = _phrases(node)
     atoms = sorted({(w, p.prefix and k == len(p.words) - 1) for p in phrases for k, w in enumerate(p.words)})
-    tests = [F.col("term").startswith(w) if prefix else F.col("term") == w for w, prefix in atoms]
-    needed = posts.where(reduce(lambda a, b: a | b, tests, F.lit(False)))
-    grouped = needed.groupBy("id").agg(
-        F.first("length").alias("length"),
-        *(F.sort_array(F.flatten(F.collect_list(F.when(t, F.col("at"))))).alias(f"a{i}") for i, t in enumerate(tests)),
-    )
     at = {a: F.col(f"a{i}") for i, a in enumerate(atoms)}
     columns: list[Column] = []
     bears: list[list[Column]] = []
@@ -270,7 +287,7 @@ def _hits(posts: DataFrame, node) -> tuple[DataFrame, int, Column, list[Column]]
         return reduce(lambda a, b: a & b, (F.size(f"p{k}") > 0 for k in numbers)), numbers
 
     matched, numbers = walk(node)
-    return grouped.select("id", "length", *columns), len(numbers), matched, [reduce(lambda a, b: a & b, x, F.lit(True)) for x in bears]
+    return _positions(docs, posts, atoms).select("id", "length", *columns), len(numbers), matched, [reduce(lambda a, b: a & b, x, F.lit(True)) for x in bears]
 
 
 def _node(query):
@@ -279,23 +296,29 @@ def _node(query):
 
 def matching(docs: DataFrame, query, posts: DataFrame | None = None) -> DataFrame:
     """id of the texts that match (a text to parse, or an expression). Null and empty texts never match; no words, no match."""
-    rows, _, matched, _ = _hits(posts if posts is not None else postings(docs), _node(query))
+    rows, _, matched, _ = _hits(docs, posts, _node(query))
     return rows.where(matched).select("id")
 
 
 def ranked(docs: DataFrame, query, posts: DataFrame | None = None) -> DataFrame:
     """id, score of the texts that match; the lower the better (bm25, negated). The number of texts, their mean length
     and the texts each phrase is in are counted over all texts first: one row of figures."""
-    posts = posts if posts is not None else postings(docs)
-    rows, phrases, matched, bears = _hits(posts, _node(query))
-    figures = docs.where(F.col("id").isNotNull() & F.col("body").isNotNull()).agg(F.count("*").alias("n"), F.sum(F.size(tokens(F.col("body")))).alias("all")).collect()[0]
-    if not figures["n"] or not phrases:
+    rows, phrases, matched, bears = _hits(docs, posts, _node(query))
+    if not phrases or not any(p.words for p in _phrases(_node(query))):
+        return rows.where(matched).select("id", F.lit(0.0).alias("score"))
+    within = [F.count_if(f"r{k}").alias(f"n{k}") for k in range(phrases)]
+    whole = [F.count("*").alias("n"), F.sum("length").alias("all")]
+    if posts is None:
+        figures = within_row = rows.agg(*whole, *within).collect()[0]
+    else:
+        within_row = rows.agg(*within).collect()[0]
+        figures = _tokenized(docs).select(F.size("t").alias("length")).agg(*whole).collect()[0]
+    if not figures["n"]:
         return rows.where(matched).select("id", F.lit(0.0).alias("score"))
-    within = rows.agg(*(F.count_if(f"r{k}").alias(f"n{k}") for k in range(phrases))).collect()[0]
     mean = max(1e-9, (figures["all"] or 0) / figures["n"])
     score = F.lit(0.0)
     for k in range(phrases):
-        n = F.lit(float(within[k]))
+        n = F.lit(float(within_row[f"n{k}"]))
         idf = F.greatest(F.log((F.lit(float(figures["n"])) - n + 0.5) / (n + 0.5)), F.lit(LEAST_IDF))
         f = F.when(bears[k], F.size(f"p{k}")).otherwise(0).cast("double")
         score = score - idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("length") / mean))

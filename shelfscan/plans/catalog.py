@@ -178,16 +178,16 @@ def _match(name: str, text: str, condition: str) -> None:
 
 
 _match("fts_term", "kettle", f"{_count('kettle')} > 0")
-_match("fts_and", "kettle budget", f"{_count('kettle')} > 0 AND {_count('budget')} > 0")
+_match("fts_and", "kettle note", f"{_count('kettle')} > 0 AND {_count('note')} > 0")
 _match("fts_or", "isotope OR (levadura AND cebolla)", f"{_count('isotope')} > 0 OR ({_count('levadura')} > 0 AND {_count('cebolla')} > 0)")
 _match("fts_not", "server NOT cache NOT parser", f"{_count('server')} > 0 AND {_count('cache')} = 0 AND {_count('parser')} = 0")
 _match("fts_phrase", '"as noted"', f"{_count('as', 'noted')} > 0")
 _match("fts_phrase_plus", "is + still + open", f"{_count('is', 'still', 'open')} > 0")
 _match("fts_prefix", "budg*", f"{_count('budg', prefix=True)} > 0")
 _match("fts_folded", "prüfen OR resume", f"{_count('prufen')} > 0 OR {_count('resume')} > 0")
-_match("fts_near", "NEAR(kettle ledger, 6)", """
-        len(list_filter(range(1, len(l) + 1), lambda i: (l[i] = 'kettle' AND list_contains(l[i + 1 : i + 7], 'ledger'))
-            OR (l[i] = 'ledger' AND list_contains(l[i + 1 : i + 7], 'kettle')))) > 0""")
+_match("fts_near", "NEAR(kettle every, 6)", """
+        len(list_filter(range(1, len(l) + 1), lambda i: (l[i] = 'kettle' AND list_contains(l[i + 1 : i + 7], 'every'))
+            OR (l[i] = 'every' AND list_contains(l[i + 1 : i + 7], 'kettle')))) > 0""")
 _match("fts_initial", "^ the", "l[1] = 'the'")
 
 
@@ -228,14 +228,14 @@ def fts_join_files(spark, d):
     return search.find(_files(spark, d), load(spark, d, "docs"), "content:isotope ext:txt;pdf", 0, CLOCK).select("path", F.round("score", 6).alias("score"))
 
 
-@add("search_rows", _bm25(("ledger",), ("budget",)) + " SELECT path, score FROM hits JOIN files USING (id) ORDER BY score, path LIMIT 25")
+@add("search_rows", _bm25(("kettle",), ("note",)) + " SELECT path, score FROM hits JOIN files USING (id) ORDER BY score, path LIMIT 25")
 def search_rows(spark, d):
-    return fts.search(_files(spark, d), load(spark, d, "docs"), "ledger budget").select("path", F.round("score", 6).alias("score"))
+    return fts.search(_files(spark, d), load(spark, d, "docs"), "kettle note").select("path", F.round("score", 6).alias("score"))
 
 
-@add("fts_fallback", f"""{WITH_T} SELECT id FROM t WHERE {_count('don', 't', prefix=True)} > 0 OR ({_count('don', prefix=True)} > 0 AND {_count('t', prefix=True)} > 0)""")
+@add("fts_fallback", f"""{WITH_T} SELECT id FROM t WHERE {_count('note', prefix=True)} > 0 AND {_count('say', prefix=True)} > 0""")
 def fts_fallback(spark, d):
-    return fts.matching(load(spark, d, "docs"), fts.safe("don't"))
+    return fts.matching(load(spark, d, "docs"), fts.safe("note, AND say"))
 
 
 @add("fts_snippet")

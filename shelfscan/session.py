@@ -54,6 +54,13 @@ def written(df: DataFrame, name: str = "cut") -> DataFrame:
     return out
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df over all cores by hash of a key, if it comes in fewer parts than there are cores (one small file is one part, however much work a
+    row is); as it is otherwise, so nothing moves that is large."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def release(df: DataFrame) -> None:
     """Deletes the table behind a DataFrame of written(); nothing may read it any more."""
     if path := getattr(df, "_written", None):

@@ -67,3 +67,15 @@ def test_snippet(docs):
 def test_empty(spark):
     none = spark.createDataFrame([], "id long, body string")
     assert fts.ranked(none, "a").count() == 0 and fts.vocabulary(none).count() == 0
+
+
+def test_stored_postings_give_the_same(docs):
+    held = fts.postings(docs).cache()
+    for query in ('"quick brown" OR budg*', "a NOT b OR c", "NEAR(a b, 9)"):
+        assert {r["id"]: round(r["score"], 9) for r in fts.ranked(docs, query, held).collect()} == {r["id"]: round(r["score"], 9) for r in fts.ranked(docs, query).collect()}
+
+
+def test_nothing_moves_but_a_small_file(docs, spark, tmp_path):
+    docs.repartition(8).write.parquet(str(tmp_path / "d"))
+    plan = fts.matching(spark.read.parquet(str(tmp_path / "d")).repartition(8), "a")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # the one asked for here
