@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfscan.session import spread
+
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Characters of text in one block of documents, on average.
@@ -73,7 +75,7 @@ def token_ids(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     position takes its word's ids. So what is shuffled by word is one row a block and word, not one an occurrence; a word
     that every text holds is one row a block.
     """
-    rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = spread(documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id")
     chars = rows.agg(F.sum(F.length("text"))).collect()[0][0] or 0
     blocks = max(1, -(-chars // block_chars))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id", F.length("text")), F.lit(blocks)))

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfscan.session import spread
+
 #: Code pages of one byte a character; undefined bytes stand for the control character of the same number.
 PAGES = ("cp1252", "latin_1", "cp1250", "cp1251", "cp437", "cp850", "cp852", "cp866", "koi8_r", "mac_roman", "mac_cyrillic", "iso8859_2", "iso8859_5", "iso8859_15")
 WIDE = ("utf_16_le", "utf_16_be")
@@ -319,5 +321,5 @@ def garbled(docs: DataFrame) -> DataFrame:
             hits = [(i, t) for i, t, found in out if found]
             yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in hits], batch.schema.field(0).type), pa.array([h[1] for h in hits], pa.string())], ["id", "body"])
 
-    rows = docs.where(F.col("body").rlike("[^\\x00-\\x7f]")).select("id", "body")
+    rows = spread(docs.where(F.col("body").rlike("[^\\x00-\\x7f]")).select("id", "body"), "id")
     return rows.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, body string")

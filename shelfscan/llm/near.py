@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfscan.session import written
+from shelfscan.session import spread, written
 
 WORD = re.compile(r"\w{2,}")
 #: Counters of the frequency sketch; its size is the same for every corpus (4 MB).
@@ -206,7 +206,7 @@ def similar_texts(docs: DataFrame, width: int = 5, share: float = 0.8, min_chars
     sequences shares one among the n - T + 1 rarest of each. Pairs whose occurrences in the short lists, with all that the long ones
     could add, reach T are candidates; their other sequences are probed by binary search. No cap: a long list is merged row by row where a text has nothing rarer.
     """
-    rows = docs.where((F.length("body") >= min_chars) & F.col("id").isNotNull()).select("id", "body")
+    rows = spread(docs.where((F.length("body") >= min_chars) & F.col("id").isNotNull()).select("id", "body"), "id")
     keyed = rows.select("id", F.xxhash64("body").alias("k1"), F.crc32("body").alias("k2"), F.length("body").alias("k3"))
     folded = keyed.groupBy("k1", "k2", "k3").agg(F.min("id").alias("rep"), F.count("*").alias("size"))
     many = written(folded.where(F.col("size") > 1))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfscan.session import written
+from shelfscan.session import spread, written
 
 #: A correct word is this many times as frequent as its misreading, by documents, and is in at least so many documents.
 RATIO, FREQUENT = 20, 5
@@ -336,7 +336,7 @@ def scanned(docs: DataFrame) -> DataFrame:
     Words are counted and skip-gram contexts added up over all documents; only pages, texts whose lines run on, are then
     taken apart, each with the readings of its own words.
     """
-    rows = docs.where(F.col("id").isNotNull() & (F.length("body") > 0)).select("id", "body")
+    rows = spread(docs.where(F.col("id").isNotNull() & (F.length("body") > 0)).select("id", "body"), "id")
     known = written(readings(rows))
     # a superset of running(), which decides
     pages = written(rows.where(F.col("body").rlike(r"\n(?<=[^\s.!?:;…][ \t\r]{0,2}\n)(?=[ \t]*\S)")))

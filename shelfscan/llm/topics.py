@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfscan.session import written
+from shelfscan.session import spread, written
 
 #: The seed lexicon is learned on at most so many labelled documents (the first by hash).
 LABELLED = 20_000
@@ -186,7 +186,7 @@ def subjects_of(documents: DataFrame, labels: DataFrame, subjects: DataFrame) ->
     if len(names) > 1000:
         raise ValueError("more subjects than a lexicon may hold")
     key = spark.createDataFrame([(n.strip().lower(), i) for i, n in enumerate(names)], "key string, subject int")
-    docs = documents.where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).select("doc_id", "text", "source")
+    docs = spread(documents.where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).select("doc_id", "text", "source"), "doc_id")
     labelled = labels.where(F.col("doc_id").isNotNull()).select("doc_id", F.lower(F.trim("subject")).alias("key")).join(F.broadcast(key), "key").select("doc_id", "subject").distinct()
     sample = labelled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
     labelled = written(labelled.join(sample, "doc_id"))
