@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -35,7 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
             return held.get()
         if not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir is unset: name a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="shelfscan-")
+        path = "file://" + (folder := tempfile.mkdtemp(prefix="shelfscan-"))
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(path)
     elif not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(path)
@@ -49,11 +52,22 @@ def written(df: DataFrame, name: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     return out
 
 
+_made: list[str] = []
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Deletes every table that written() made in this process: for the end of a job, when no result is read any more."""
+    while _made:
+        at = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """df over all cores by hash of a key, if it comes in fewer parts than there are cores (one small file is one part, however much work a
     row is); as it is otherwise, so nothing moves that is large."""

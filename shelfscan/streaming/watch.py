@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from shelfscan.functions.constants import SKIP_DIRS
 from shelfscan.operators.roots import with_root
-from shelfscan.session import written
 
 
 def skipped(path: Column) -> Column:
@@ -38,22 +37,36 @@ def apply(state: DataFrame, folded: DataFrame) -> DataFrame:
     return left.unionByName(folded.where(F.col("op") == "upsert").select("path", "is_dir", "ts"))
 
 
+#: Batches between two whole states on disk.
+BASE_EVERY = 20
+
+
 class Follower:
-    """Follows a stream of events by foreachBatch. Each batch writes the state to a folder named by its number and reads that of the batch before, so
-    a batch replayed after a failure gives what it gave."""
+    """Follows a stream of events by foreachBatch. A batch writes only its folded changes, to a folder named by its number, so a batch replayed after a
+    failure replaces itself; every BASE_EVERY batches the whole state is written too. The state after a batch is the last whole one with
+    the changes since applied in order."""
 
-    def __init__(self, folder: str):
-        self.folder = folder
+    def __init__(self, folder: str, base_every: int = BASE_EVERY):
+        self.folder, self.base_every = folder, base_every
 
     def state(self, spark, batch: int) -> DataFrame:
-        if batch < 0:
-            return spark.createDataFrame([], "path string, is_dir int, ts timestamp")
-        return spark.read.parquet(f"{self.folder}/state-{batch}")
+        """path, is_dir, ts after a batch; empty before the first."""
+        base = (batch + 1) // self.base_every * self.base_every - 1
+        if base >= 0:
+            state = spark.read.parquet(f"{self.folder}/state-{base}")
+        else:
+            state = spark.createDataFrame([], "path string, is_dir int, ts timestamp")
+        for n in range(base + 1, batch + 1):
+            state = apply(state, spark.read.parquet(f"{self.folder}/changes-{n}"))
+        return state
 
     def __call__(self, events: DataFrame, batch: int) -> None:
         spark = events.sparkSession
-        after = apply(self.state(spark, batch - 1), written(fold(events), "fold"))
-        after.write.mode("overwrite").parquet(f"{self.folder}/state-{batch}")
+        changes = fold(events)
+        changes.write.mode("overwrite").parquet(f"{self.folder}/changes-{batch}")
+        if (batch + 1) % self.base_every == 0:
+            before = self.state(spark, batch - 1)
+            apply(before, spark.read.parquet(f"{self.folder}/changes-{batch}")).write.mode("overwrite").parquet(f"{self.folder}/state-{batch}")
 
     def start(self, events: DataFrame, checkpoint: str, available_now: bool = False):
         writer = events.writeStream.foreachBatch(self).option("checkpointLocation", checkpoint)

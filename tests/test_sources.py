@@ -154,15 +154,17 @@ def test_stream_equals_fold_of_folds(spark, tmp_path):
     parts = [events(spark).where(F.col("event_id") % 3 == k) for k in range(3)]
     for k, p in enumerate(parts):
         p.coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
-    follower = watch.Follower(str(tmp_path / "state"))
+    follower = watch.Follower(str(tmp_path / "state"), base_every=2)
     source = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
     q = follower.start(source, str(tmp_path / "cp"), available_now=True)
     q.awaitTermination()
-    last = max(int(p.split("-")[1]) for p in os.listdir(tmp_path / "state"))
+    last = max(int(p.split("-")[1]) for p in os.listdir(tmp_path / "state") if p.startswith("changes"))
     assert last == 2
     before = sorted(map(tuple, follower.state(spark, last).collect()))
     order = [r[0] for r in sorted((q_["batchId"], 0) for q_ in q.recentProgress)]
-    assert order[:3] == [0, 1, 2]
+    assert order[:3] == [0, 1, 2] and (tmp_path / "state" / "state-1").exists()
+    plain = watch.Follower(str(tmp_path / "state"), base_every=99)  # the same without a whole state between
+    assert sorted(map(tuple, plain.state(spark, last).collect())) == before
     follower(spark.createDataFrame(follower_input(spark, tmp_path, last), EVENTS), last)
     assert sorted(map(tuple, follower.state(spark, last).collect())) == before
 
