@@ -40,3 +40,6 @@ SKIP_DIRS = [
     "node_modules", "__pycache__", ".git", ".svn", ".hg", ".venv", "venv", ".venv-win", ".venv-mac", ".venv-linux", "env", "site-packages",
     "appdata", ".cache", ".gradle", ".nuget", "windowsapps", "msocache",
 ]
+
+# The columns of the index; others of a table are left out where they could clash.
+FILE_COLUMNS = "id path name ext size mtime indexed chars status error is_dir phash fhash kind simhash dhash".split()

@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfscan.functions.constants import FILE_COLUMNS
 from shelfscan.functions.strings import within
 from shelfscan.operators.similarity import near_images, near_texts, numbered
 
 
+def own(files: DataFrame) -> DataFrame:
+    return files.select(*(c for c in files.columns if c in FILE_COLUMNS))
+
+
 def scoped(files: DataFrame, under: str | None = None, exts: list[str] | None = None) -> DataFrame:
+    files = own(files)
     if under:
         files = files.where(within(F.col("path"), under))
     return files.where(F.col("ext").isin(["." + e.lstrip(".").lower() for e in exts])) if exts else files

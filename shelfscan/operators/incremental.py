@@ -72,11 +72,11 @@ def upsert(files: DataFrame, rows: DataFrame) -> DataFrame:
     (FINGERPRINTS) stays only if size and mtime are equal, simhash only if chars are too; name and ext of a known path stay. New paths get ids
     after the largest; of several rows of a path the last indexed counts. One full outer join by path."""
     fresh = [c for c in rows.columns if c != "path"]
-    new = rows.where(F.col("path").isNotNull()).groupBy("path").agg(F.max(F.struct("indexed", *[c for c in fresh if c != "indexed"])).alias("n"))
+    new = rows.where(F.col("path").isNotNull()).groupBy("path").agg(F.max(F.struct("indexed", *[c for c in fresh if c != "indexed"])).alias("__row"))
     joined = files.alias("f").join(new, "path", "full_outer")
-    hit, known = F.col("n").isNotNull(), F.col("f.id").isNotNull()
-    bytes_same = (F.col("f.size") == F.col("n.size")) & (F.col("f.mtime") == F.col("n.mtime"))
-    text_same = bytes_same & (F.col("f.chars") == F.col("n.chars"))
+    hit, known = F.col("__row").isNotNull(), F.col("f.id").isNotNull()
+    bytes_same = (F.col("f.size") == F.col("__row.size")) & (F.col("f.mtime") == F.col("__row.mtime"))
+    text_same = bytes_same & (F.col("f.chars") == F.col("__row.chars"))
     top = files.agg(F.coalesce(F.max("id"), F.lit(0))).collect()[0][0]
     from shelfscan.operators.similarity import numbered
 
@@ -88,9 +88,9 @@ def upsert(files: DataFrame, rows: DataFrame) -> DataFrame:
         elif c == "id":
             out.append(F.coalesce("f.id", F.col("__new") + F.lit(top)).alias("id"))
         elif c in ("name", "ext"):
-            out.append(F.when(known, F.col(f"f.{c}")).otherwise(F.col(f"n.{c}")).alias(c))
+            out.append(F.when(known, F.col(f"f.{c}")).otherwise(F.col(f"__row.{c}")).alias(c))
         elif c in fresh:
-            out.append(F.when(hit, F.col(f"n.{c}")).otherwise(F.col(f"f.{c}")).alias(c))
+            out.append(F.when(hit, F.col(f"__row.{c}")).otherwise(F.col(f"f.{c}")).alias(c))
         elif c in FINGERPRINTS:
             out.append(F.when(~hit | bytes_same, F.col(f"f.{c}")).alias(c))
         elif c == "simhash":

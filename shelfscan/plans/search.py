@@ -85,7 +85,7 @@ def find(files: DataFrame, docs: DataFrame | None, text: str, limit: int = 50, c
     from shelfscan.operators import fts
 
     spec = parse(text, clock)
-    rows = filtered(files, spec)
+    rows = filtered(files.select("id", "path", "name", "ext", "size", "mtime", "is_dir"), spec)
     if spec.content_not:
         gone = fts.matching(docs, fts.safe(" ".join(spec.content_not), negative=True))
         rows = rows.join(gone, "id", "left_anti")
