@@ -17,6 +17,7 @@ TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Characters of text in one block of documents, on average.
 BLOCK_CHARS = 4_000_000
+MOST_PARTS = 50_000
 
 # The characters of the Unicode property White_Space and the tokenizer's rule for words.
 WHITE = r"\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -82,8 +83,10 @@ def token_ids(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     of_block = rows.where(F.length("text") > 0).select(F.col("block").alias("of"), F.explode(F.array_distinct(words(F.col("text")))).alias("word")).distinct()
     encoded = of_block.select("word").distinct().mapInArrow(_encode(folder, vocabulary), "word string, ids array<int>")
     dictionary = of_block.join(encoded, "word")
+    # a task a block, so that what a task reads does not grow with the corpus
+    parts = min(MOST_PARTS, max(blocks, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     placed = (
-        rows.repartition("block")
+        rows.repartition(parts, "block")
         .select("block", "id", words(F.coalesce("text", F.lit(""))).alias("words"))
         .groupBy("block")
         .cogroup(dictionary.groupBy("of"))
