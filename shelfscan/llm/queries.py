@@ -92,7 +92,21 @@ QUERIES = {
     "p8_decoded": p8_decoded, "p9_containers": p9_containers, "p10_found": p10_found,
 }
 
+def _closest(field: str, where: str, bits: int) -> str:
+    return f"""
+        SELECT DISTINCT '{field}' AS field, least(id, o) AS id_a, greatest(id, o) AS id_b FROM (
+          SELECT a.id, b.id AS o, bit_count(xor(a.{field}, b.{field})) AS bits, row_number() OVER (PARTITION BY a.id ORDER BY bit_count(xor(a.{field}, b.{field})), b.id) AS k
+          FROM (SELECT * FROM files WHERE {where}) a JOIN (SELECT * FROM files WHERE {where}) b ON a.id <> b.id) WHERE k <= 5 AND bits <= {bits}"""
+
+
 SQL = {
+    "p4_found": r"""
+        WITH w AS (SELECT id, regexp_extract_all(lower(body), '[\p{L}\p{N}_]{2,}') AS l FROM docs WHERE length(body) >= 200),
+        s AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(l) - 1), lambda i: l[i] || ' ' || l[i + 1] || ' ' || l[i + 2])) AS g FROM w WHERE len(l) > 2),
+        n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+        p AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY a.id, b.id)
+        SELECT id_a, id_b FROM p JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE 10 * c >= 6 * (x.n + y.n - c)""",
+    "p6_found": _closest("dhash", "bit_count(dhash) BETWEEN 9 AND 55", 8) + " UNION ALL " + _closest("simhash", "simhash IS NOT NULL AND chars >= 600", 3),
     "p2_found": """
         WITH RECURSIVE e AS (
           SELECT DISTINCT least(id_a, id_b) a, greatest(id_a, id_b) b FROM near_pairs
