@@ -105,7 +105,8 @@ def pieces(spark, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> Dat
 def decoded(ids: DataFrame, pieces: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """id_col and text of each ids list: positions join the vocabulary (broadcast, of the vocabulary's size), and the
     pieces of a row are put together by position. Empty and null lists give the empty text. id_col is a key."""
-    hit = ids.select(id_col, F.posexplode("ids").alias("pos", "id")).join(F.broadcast(pieces), "id")
-    joined = hit.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("pos", F.hex("piece").alias("h")))).alias("x"))
-    text = F.decode(F.unhex(F.array_join(F.transform("x", lambda p: p["h"]), "")), "UTF-8")
-    return ids.select(id_col).join(joined.select(id_col, text.alias("text")), id_col, "left").select(id_col, F.coalesce("text", F.lit("")).alias("text"))
+    # partitioned by row before it is taken apart: positions come together again where they are, and only lists move
+    spread_out = ids.select(id_col, "ids").repartition(id_col).select(id_col, F.posexplode_outer("ids").alias("pos", "id"))
+    hit = spread_out.join(F.broadcast(pieces), "id", "left")
+    joined = hit.groupBy(id_col).agg(F.sort_array(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("pos", F.hex("piece").alias("h"))))).alias("x"))
+    return joined.select(id_col, F.decode(F.unhex(F.array_join(F.transform("x", lambda p: p["h"]), "")), "UTF-8").alias("text"))
