@@ -32,15 +32,20 @@ LONG_LINE, SHORT_LINE = 110, 60
 GLYPHS = (
     ("rn", "m"), ("m", "rn"), ("ri", "n"), ("n", "ri"), ("ii", "u"), ("u", "ii"), ("cl", "d"), ("d", "cl"), ("li", "h"), ("h", "li"),
     ("c", "e"), ("e", "c"), ("f", "t"), ("t", "f"), ("b", "h"), ("h", "b"), ("y", "v"), ("v", "y"), ("vv", "w"), ("w", "vv"), ("i", "l"), ("l", "i"),
-    ("1", "l"), ("1", "i"), ("!", "i"), ("!", "l"), ("|", "l"), ("|", "i"), ("0", "o"), ("@", "a"), ("9", "g"), ("5", "s"), ("8", "b"), ("6", "b"), ("$", "s"), ("(", "c"), ("3", "e"), ("4", "a"), ("7", "t"), ("2", "z"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("а", "a"),
+    ("1", "l"), ("1", "i"), ("!", "i"), ("!", "l"), ("|", "l"), ("|", "i"), ("0", "o"), ("0", "о"), ("@", "a"), ("@", "а"), ("9", "g"), ("5", "s"), ("8", "b"), ("6", "b"), ("$", "s"), ("(", "c"), ("3", "e"), ("4", "a"), ("7", "t"), ("2", "z"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("а", "a"),
     ("ы", "ьі"), ("ьі", "ы"),
 )
 #: Strokes that glyphs fall into; words of one skeleton may stand for each other.
-STROKES = {"m": "rri", "w": "cc", "v": "c", "y": "c", "d": "ci", "n": "ri", "h": "ii", "b": "ii", "u": "ii", "ü": "ii", "ú": "ii", "e": "c", "f": "t", "l": "i", "j": "i", "1": "i", "!": "i", "|": "i", "0": "o", "@": "a", "9": "g", "5": "s", "$": "s", "8": "ii", "6": "ii", "(": "c", "ы": "ьі", "ﬁ": "ti", "ﬂ": "ti"}
+STROKES = {"m": "rri", "w": "cc", "v": "c", "y": "c", "d": "ci", "n": "ri", "h": "ii", "b": "ii", "u": "ii", "ü": "ii", "ú": "ii", "e": "c", "f": "t", "l": "i", "j": "i", "1": "i", "!": "i", "|": "i", "0": "o", "о": "o", "@": "a", "а": "a", "9": "g", "5": "s", "$": "s", "8": "ii", "6": "ii", "(": "c", "ы": "ьі", "ﬁ": "ti", "ﬂ": "ti"}
 
 #: Words, and words with a sign or digit inside; none beside a character that was lost.
 WORD = re.compile(r"(?<![^\W\d_]|\ufffd)[^\W\d_]+(?:[0-9!@|$][^\W\d_]+)*(?![^\W\d_]|\ufffd)")
 INNER = re.compile(r"(?<=[^\W\d_])[0-9!@|$](?=[^\W\d_])")
+#: What stands between blanks and punctuation: words with digits and signs at either edge and in runs, numbers, addresses.
+RUN = re.compile(r"[\w!@|$\ufffd]+")
+SIGN = re.compile(r"[0-9!@|$]")
+#: What follows the first word after the @ of an address.
+DOMAIN = re.compile(r"(?:-\w+)*\.\w")
 HYPHENS = "-‐¬\xad"
 CUT = re.compile(rf"([^\W\d_]+)[{HYPHENS}]$")
 BREAK = re.compile(rf"[^\W\d_][{HYPHENS}][ \t\r]*\n")
@@ -74,6 +79,30 @@ def glyph_edits(rare: str, frequent: str, most: int = 3) -> int | None:
     return best.get((len(rare), len(frequent)))
 
 
+def forms(run: str) -> list[str]:
+    """What a run may be as one misread word: as it is, without the marks after it, and without those around it. At least half of it
+    are letters, so numbers are none; words that WORD finds are left out."""
+    out = []
+    for form in dict.fromkeys((run, run.rstrip("!|"), run.strip("!|"))):
+        signs = len(SIGN.findall(form))
+        letters = sum(c.isalpha() for c in form)
+        if signs and letters >= signs and letters + signs == len(form) and not WORD.fullmatch(form):
+            out.append(form)
+    return out
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a text as WORD finds them, each run that is none preceded by its forms."""
+    out = []
+    for run in RUN.findall(text):
+        if run.isalpha():
+            out.append(run)
+        elif not run.isdigit():
+            out += forms(run)
+            out += WORD.findall(run)
+    return out
+
+
 def _counts(batches):
     """(word, df): in how many of the documents each word is, added up as far as memory allows."""
 
@@ -83,7 +112,7 @@ def _counts(batches):
     held: Counter = Counter()
     for batch in batches:
         for text in batch.column(1).to_pylist():
-            held.update(set(WORD.findall(text)))
+            held.update(set(words_of(text)))
         if len(held) > 300_000:
             yield out(held)
             held = Counter()
@@ -97,22 +126,36 @@ def _bare(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([skeleton(w) for w in words])], ["word", "df", "bare"])
 
 
+def _edits(rare: str, frequent: str) -> int | None:
+    """Glyph edits within the bound; every sign is one, and a word in capitals with signs may stand for one that is not in capitals."""
+    signs = len(SIGN.findall(rare))
+    if signs and rare.isupper():
+        rare, frequent = rare.lower(), frequent.lower()
+    return glyph_edits(rare, frequent, max(min(3, max(1, len(frequent) // 3)), signs))
+
+
 def _edited(batches):
     for batch in batches:
-        edits = [glyph_edits(a, b, min(3, max(1, len(b) // 3))) for a, b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
+        edits = [_edits(a, b) for a, b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
         keep = pa.array([e is not None for e in edits])
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([e or 0 for e in edits], pa.int32())], ["rare", "rare_df", "word", "df", "edits"]).filter(keep)
 
 
 def links(docs: DataFrame) -> DataFrame:
     """rare, rare_df, word, df, edits: each rare word with the frequent words that glyph edits make of it. Words are counted over
-    all documents; rare and frequent words meet by skeleton, an equi-join."""
-    words = docs.mapInArrow(_counts, "word string, df bigint").groupBy("word").agg(F.sum("df").alias("df")).where(F.length("word") >= SHORTEST)
-    bare = words.mapInArrow(_bare, "word string, df bigint, bare string")
+    all documents; rare and frequent words meet by skeleton, an equi-join. A word with signs is none of its own: what it stands for
+    need only be more frequent. A mark after a frequent word is a mark."""
+    words = written(docs.mapInArrow(_counts, "word string, df bigint").groupBy("word").agg(F.sum("df").alias("df")).where(F.length("word") >= SHORTEST - 1))
+    plain = words.where((F.col("df") >= FREQUENT) & ~F.col("word").rlike("[0-9!@|$]"))
+    bare = words.where(F.length("word") >= SHORTEST).mapInArrow(_bare, "word string, df bigint, bare string")
     frequent = bare.where((F.col("df") >= FREQUENT) & ~F.col("word").rlike("[0-9!@|$]"))
     rare = bare.select(F.col("word").alias("rare"), F.col("df").alias("rare_df"), "bare")
-    met = rare.join(frequent, "bare").where((F.col("rare") != F.col("word")) & (F.col("df") >= RATIO * F.col("rare_df")))
-    return met.select("rare", "rare_df", "word", "df").mapInArrow(_edited, "rare string, rare_df bigint, word string, df bigint, edits int")
+    marked = F.col("rare").rlike("[!|]$")
+    signed = F.col("rare").rlike("[0-9!@|$]") & ~marked
+    met = rare.join(frequent, "bare").where((F.col("rare") != F.col("word")) & ((F.col("df") >= RATIO * F.col("rare_df")) | signed & (F.col("df") > F.col("rare_df"))))
+    found = met.select("rare", "rare_df", "word", "df").mapInArrow(_edited, "rare string, rare_df bigint, word string, df bigint, edits int")
+    ends = plain.select(F.col("word").alias("end"))
+    return found.join(ends, marked & (F.regexp_replace("rare", "[!|]+$", "") == F.col("end")), "left_anti")
 
 
 #: Slots of the bitmap of linked words that every task of the vector pass holds; the same for every corpus.
@@ -140,7 +183,7 @@ def _contexts(taken):
 
     def run(batches):
         for batch in batches:
-            found = [WORD.findall(t) for t in batch.column(1).to_pylist()]
+            found = [words_of(t) for t in batch.column(1).to_pylist()]
             words = [w for f in found for w in f]
             if not words:
                 continue
@@ -206,7 +249,8 @@ def _chosen(batches):
         like = (a * b).sum(1) / np.maximum(1e-9, np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1))
         df, edits, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (3, 4, 7))
         worth = like - 0.5 * edits + 0.1 * np.log(df)
-        keep = pa.array((like > LIKE) | (n < CONTEXTS))
+        signs = np.array([bool(SIGN.search(w)) for w in batch.column(0).to_pylist()], bool)
+        keep = pa.array((like > LIKE) | (n < CONTEXTS) | signs)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(worth)], ["rare", "word", "worth"]).filter(keep)
 
 
@@ -218,7 +262,7 @@ def readings(docs: DataFrame) -> DataFrame:
     b = v.select("word", F.col("vector").alias("vb"))
     pairs = linked.join(a, "rare").join(b, "word").select("rare", "rare_df", "word", "df", "edits", "va", "vb", "na")
     chosen = pairs.mapInArrow(_chosen, "rare string, word string, worth double")
-    return chosen.groupBy("rare").agg(F.max(F.struct("worth", "word")).alias("x")).select("rare", F.col("x.word").alias("word"))
+    return chosen.groupBy("rare").agg(F.max(F.struct("worth", "word")).alias("x")).select("rare", F.when(F.col("rare").rlike("[0-9!@|$]") & (F.upper("rare") == F.col("rare")), F.upper("x.word")).otherwise(F.col("x.word")).alias("word"))
 
 
 #: A page's number: bare, in brackets, between dashes, after a short word, of so many.
@@ -320,7 +364,20 @@ def repair(text: str, fixes: dict[str, str]) -> tuple[str, bool]:
         misread += word != m[0]
         return word
 
-    body = WORD.sub(mended, "\n\n".join(out))
+    def run(m):
+        nonlocal misread
+        if m[0].isalpha():
+            return mended(m)
+        if "@" in m[0] and DOMAIN.match(m.string, m.end()):
+            return m[0]
+        for form in forms(m[0]):
+            if form in fixes:
+                misread += 1
+                before, _, after = m[0].partition(form)
+                return before + fixes[form] + after
+        return WORD.sub(mended, m[0])
+
+    body = RUN.sub(run, "\n\n".join(out))
     if not (cuts or gone or misread):
         return text, False
     return SPECK.sub(" ", body), True
@@ -340,7 +397,12 @@ def scanned(docs: DataFrame) -> DataFrame:
     known = written(readings(rows))
     # a superset of running(), which decides
     pages = written(rows.where(F.col("body").rlike(r"\n(?<=[^\s.!?:;…][ \t\r]{0,2}\n)(?=[ \t]*\S)")))
-    words = pages.select("id", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(r"\p{L}+(?:[0-9!@|$]\p{L}+)*"), F.lit(0)))).alias("rare"))
+    # a superset of words_of(), which decides
+    every = lambda pattern: F.regexp_extract_all("body", F.lit(pattern), F.lit(0))
+    runs = every(r"(?<![\p{L}0-9!@|$])\p{L}*+[0-9!@|$][\p{L}0-9!@|$]*+")
+    bare = lambda pattern: F.transform(runs, lambda r: F.regexp_replace(r, pattern, ""))
+    forms_ = F.concat(every(r"\p{L}+(?:[0-9!@|$]\p{L}+)*"), runs, bare(r"[!|]+$"), bare(r"^[!|]+|[!|]+$"))
+    words = pages.select("id", F.explode(F.array_distinct(forms_)).alias("rare"))
     fixes = words.join(known, "rare").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("rare", "word"))).alias("fixes"))
 
     def run(batches):

@@ -259,6 +259,18 @@ def test_scanned_operator(spark):
     assert scans.scanned(df.limit(0)).count() == 0
 
 
+def test_signs_at_the_edges_and_in_runs(spark):
+    rng = random.Random(9)
+    wrapped = lambda s: "\n".join(re.findall(r".{30,45}(?: |$)", s))
+    rows = [(i, text(rng, 60) + " always still кратко NOTE bridge ledger wheel") for i in range(60)]
+    odd = " 1edger whee1, sti11 @lways 0nly-8ridge! кратк0 8RIDGE 1984 1980s x@wheel.org hot! |3| still! "
+    rows += [(100, wrapped(text(rng, 40) + odd + text(rng, 40)))]
+    got = {r["id"]: r["body"] for r in scans.scanned(spark.createDataFrame(rows, "id long, body string")).collect()}
+    assert got.keys() == {100}
+    assert " ledger wheel, still always 0nly-bridge! кратко BRIDGE 1984 1980s " in got[100] and " hot! |3| still! " in got[100]
+    assert scans.words_of("plain 1edger! 1980s a_b 12 x\ufffdy1") == ["plain", "1edger!", "1edger", "edger", "s", "a", "b"]
+
+
 # --- p8 ---------------------------------------------------------------------------------
 
 TEXTS = [
