@@ -42,6 +42,8 @@ AFTER_WORD = frozenset("”’»›…–—‐‑·•©®™°²³\xad¬€£%
 BOM = "ï»¿"
 POLISH = frozenset("ąćęłńóśźż")
 
+#: What is never meant: the character for a lost one, and control characters beyond ASCII.
+LOST = re.compile("[\ufffd\x80-\x9f]")
 TOKEN = re.compile(r"[^ \t\n\r\f\v\u3000]+")
 
 
@@ -232,11 +234,14 @@ def _step(token: str, source: str, target: str) -> str:
     return token if out is None else out
 
 
-#: (read as, written as): the code pages of western, central European and Russian systems in each other's hands.
+#: (read as, written as): first the code pages of western, central European and Russian systems in each other's hands.
 READ = ("cp1252", "latin_1", "cp1250", "cp1251", "cp437", "cp850", "cp866", "koi8_r", "mac_roman", "mac_cyrillic", "iso8859_2")
 EDGES = [(a, "utf_8") for a in PAGES]
 EDGES += [(a, b) for a in READ for b in ("cp1252", "cp1250", "cp1251", "koi8_r", "cp866", "mac_roman", "iso8859_2", "cp437", "cp850") if a != b]
 EDGES += [(a, b) for a in WIDE for b in ("utf_8", "cp1252", "utf_16_be" if a == "utf_16_le" else "utf_16_le")]
+#: Every other page in every other's hands: each such step counts as so much more cost, so pages that differ in a few signs only are not taken for common ones.
+SELDOM = [(a, b) for a in PAGES for b in PAGES if a != b and (a, b) not in EDGES]
+SELDOM_COST = 0.5
 
 
 def _state(tokens: tuple[str, ...]) -> int:
@@ -245,30 +250,47 @@ def _state(tokens: tuple[str, ...]) -> int:
 
 
 def restore(tokens: tuple[str, ...]) -> tuple[tuple[str, ...], float, float]:
-    """The cheapest reading of a stretch's words, its cost, and the cost before."""
+    """The cheapest reading of a stretch's words, its cost, and the cost before. What the seldom pages make of it stands if it is cheaper by
+    what its steps to them cost and much less odd, and mends more words than it harms; a word whose bytes are lost would draw the others with it. A reading that is not odd
+    needs no second search."""
+    first = sum(map(cost, tokens))
+    best, best_cost, worth = _search(tokens, [])
+    if odd := sum(plausibility(t)[1] for t in best):
+        other, other_cost, other_worth = _search(tokens, SELDOM)
+        mended = sum(0 < plausibility(a)[1] and plausibility(b)[1] <= (1 - SHARE) * plausibility(a)[1] for a, b in zip(best, other))
+        harmed = sum(plausibility(a)[1] == 0 and cost(b) > cost(a) + 1e-9 for a, b in zip(best, other))
+        if mended > harmed and other_worth < worth - 1e-9 and sum(plausibility(t)[1] for t in other) <= (1 - SHARE) * odd:
+            best, best_cost = other, other_cost
+    return best, best_cost, first
+
+
+def _search(tokens: tuple[str, ...], seldom: list[tuple[str, str]]) -> tuple[tuple[str, ...], float, float]:
+    """The best reading found, its cost, and that with its seldom steps."""
     first = sum(map(cost, tokens))
     first_odd = sum(plausibility(t)[1] for t in tokens)
     best, best_cost = tokens, first
-    heap, seen, expanded, order = [(first, 0, first, tokens)], {_state(tokens)}, 0, 0
+    best_worth = first
+    heap, seen, expanded, order = [(first, 0, first, 0.0, tokens)], {_state(tokens): 0.0}, 0, 0
     while heap and expanded < EXPANSIONS:
-        _, _, c, state = heapq.heappop(heap)
+        _, _, c, extra, state = heapq.heappop(heap)
         if c < first and sum(plausibility(t)[1] for t in state) <= 0.05 * first_odd:
             break
         expanded += 1
-        nexts = [(b, tuple(_step(t, a, b) for t in state)) for a, b in EDGES]
-        nexts.append(("", tuple(html.unescape(t) for t in state)))
-        for target, new in nexts:
-            if (h := _state(new)) in seen:
+        nexts = [(b, extra, tuple(_step(t, a, b) for t in state)) for a, b in EDGES]
+        nexts.append(("", extra, tuple(html.unescape(t) for t in state)))
+        nexts += [(b, extra + SELDOM_COST, tuple(_step(t, a, b) for t in state)) for a, b in seldom]
+        for target, more, new in nexts:
+            if seen.get(h := _state(new), more + 1) <= more:
                 continue
-            seen.add(h)
+            seen[h] = more
             new_cost = sum(map(cost, new))
             order += 1
-            if new_cost < best_cost - 1e-9:
-                best, best_cost = new, new_cost
+            if new_cost + more < best_worth - 1e-9:
+                best, best_cost, best_worth = new, new_cost, new_cost + more
             if new_cost < c:
                 # what decodes as UTF-8 seldom does so by chance: it is looked into first
-                heapq.heappush(heap, (new_cost * (UTF8_FIRST if target == "utf_8" else 1), order, new_cost, new))
-    return best, best_cost, first
+                heapq.heappush(heap, (new_cost * (UTF8_FIRST if target == "utf_8" else 1) + more, order, new_cost, more, new))
+    return best, best_cost, best_worth
 
 
 def _accepted(tokens: tuple[str, ...]) -> dict[str, str]:
@@ -302,7 +324,7 @@ def repair(text: str) -> tuple[str, bool]:
         if changed:
             lines[i] = TOKEN.sub(lambda m: changed.get(m[0], m[0]), line)
             found = True
-        if "�" in line:
+        if LOST.search(line):
             found = True
     return "\n".join(lines), found
 

@@ -34,6 +34,21 @@ def test_restores(read, written, original):
         assert got == "Clean line – fine.\n" + original
 
 
+@pytest.mark.parametrize("read, written, original", [
+    ("cp1250", "cp852", "Żaden zima nie opóźnia odpowiedź, młody balkon zastępuje żółty gwóźdź"), ("cp1252", "iso8859_5", "Наш старый фонарь тянет весь скромный мешок"),
+    ("cp1251", "mac_cyrillic", "Наш старый фонарь тянет весь скромный мешок"), ("cp866", "iso8859_5", "Наш старый фонарь тянет весь скромный мешок"),
+])
+def test_restores_from_every_page(read, written, original):
+    garbled = "".join(mojibake.DECODE[read][b] for b in original.encode(written))
+    assert mojibake.repair(garbled) == (original, True)
+    assert all((a, b) in [*mojibake.EDGES, *mojibake.SELDOM] for a in mojibake.PAGES for b in mojibake.PAGES if a != b)
+
+
+def test_what_is_never_meant_is_found(monkeypatch):
+    monkeypatch.setattr(mojibake, "_accepted", lambda tokens: {})
+    assert mojibake.repair("m\x88ody") == ("m\x88ody", True)
+
+
 def test_restores_twice_and_wide():
     twice = "prêt à créer un modèle".encode().decode("cp1252", "ignore").encode().decode("cp1252", "ignore")
     assert "modèle" in mojibake.repair(twice)[0]
