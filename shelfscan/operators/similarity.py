@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfscan.functions.constants import DHASH_FLAT_BITS, DHASH_NONE, HOT_BUCKET, IMAGE_DISTANCE, NEAR_DISTANCE
+from shelfscan.functions.constants import DHASH_FLAT_BITS, DHASH_NONE, IMAGE_DISTANCE, NEAR_DISTANCE
 from shelfscan.session import release, written
 
 
@@ -18,22 +18,31 @@ def band_count(distance: int) -> int:
     return 4 if distance <= 3 else 8
 
 
-def banded_pairs(rows: DataFrame, distance: int, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+#: Distinct fingerprints of a band's bucket that meet in one block; larger buckets are split.
+BLOCK = 2000
+
+
+def banded_pairs(rows: DataFrame, distance: int, hot_bucket: int | None = None) -> DataFrame:
     """v, w: fingerprints v < w of rows(v) that share a band's bits and differ in at most `distance` bits.
 
-    Equal fingerprints are one row; a band's bucket of more than hot_bucket rows is passed over, as the data model lays down. Null
-    fingerprints take no part. The bands are an equi-join whose buckets are bounded by hot_bucket.
+    Equal fingerprints are one row. A bucket of more than BLOCK distinct ones is cut into blocks by hash and every pair of blocks meets, each in a
+    key of its own: exact, and no key holds more than about two blocks. With hot_bucket, buckets of more rows than that are passed over,
+    as the reference does. Null fingerprints take no part.
     """
     bands = band_count(distance)
     width = 64 // bands
     counted = rows.where(F.col("v").isNotNull()).groupBy("v").agg(F.count("*").alias("n"))
     cut = counted.select("v", "n", F.explode(F.array(*(F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("v", k * width).bitwiseAND(F.lit((1 << width) - 1)).alias("key")) for k in range(bands)))).alias("b"))
     cut = cut.select("v", "n", "b.band", "b.key")
-    usable = cut.groupBy("band", "key").agg(F.sum("n").alias("rows"), F.count("*").alias("kinds")).where((F.col("rows") <= hot_bucket) & (F.col("kinds") > 1)).select("band", "key")
-    kept = cut.select("v", "band", "key").join(usable, ["band", "key"], "left_semi")
-    other = kept.withColumnRenamed("v", "w")
-    met = kept.join(other, ["band", "key"]).where((F.col("v") < F.col("w")) & (hamming(F.col("v"), F.col("w")) <= distance))
-    return met.select("v", "w").distinct()
+    usable = cut.groupBy("band", "key").agg(F.sum("n").alias("rows"), F.count("*").alias("kinds")).where(F.col("kinds") > 1)
+    usable = usable.where(F.col("rows") <= hot_bucket) if hot_bucket else usable
+    usable = usable.select("band", "key", F.ceil(F.col("kinds") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    kept = cut.select("v", "band", "key").join(usable, ["band", "key"]).withColumn("at", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+    # block i meets block j in (i, j), i <= j: a row of block b is in (b, j) as the first and in (i, b) as the second
+    first = kept.select("band", "key", F.col("at").alias("i"), F.explode(F.expr("sequence(at, blocks - 1)")).alias("j"), "v")
+    second = kept.select("band", "key", F.explode(F.expr("sequence(0, at)")).alias("i"), F.col("at").alias("j"), F.col("v").alias("w"))
+    met = first.join(second, ["band", "key", "i", "j"]).where(((F.col("i") < F.col("j")) | (F.col("v") < F.col("w"))) & (hamming(F.col("v"), F.col("w")) <= distance))
+    return met.select(F.least("v", "w").alias("v"), F.greatest("v", "w").alias("w")).distinct()
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -57,10 +66,10 @@ def connected(edges: DataFrame) -> DataFrame:
     raise RuntimeError("labels did not settle")
 
 
-def groups(rows: DataFrame, distance: int) -> DataFrame:
+def groups(rows: DataFrame, distance: int, hot_bucket: int | None = None) -> DataFrame:
     """rows with column label of those rows(v, ...) in a group of two or more rows with like fingerprints, directly or
     through others. Rows of equal fingerprints are like without a band; a class of copies stays one vertex."""
-    linked = connected(banded_pairs(rows, distance))
+    linked = connected(banded_pairs(rows, distance, hot_bucket))
     sizes = rows.where(F.col("v").isNotNull()).groupBy("v").agg(F.count("*").alias("n")).where("n > 1").select("v")
     labels = linked.union(sizes.join(linked, "v", "left_anti").select("v", F.col("v").alias("label")))
     return rows.join(labels, "v")
@@ -89,20 +98,20 @@ def _numbered(members: DataFrame) -> DataFrame:
     return members.join(order, "label").drop("label")
 
 
-def near_texts(files: DataFrame, distance: int = NEAR_DISTANCE, under: str | None = None) -> DataFrame:
-    """set, files, path, size, mtime of texts whose simhashes are like."""
+def near_texts(files: DataFrame, distance: int = NEAR_DISTANCE, under: str | None = None, hot_bucket: int | None = None) -> DataFrame:
+    """set, files, path, size, mtime of texts whose simhashes are like; with hot_bucket (the reference: HOT_BUCKET) buckets of more rows are passed over."""
     from shelfscan.functions.strings import within
 
     rows = files.where((F.col("is_dir") == 0) & F.col("simhash").isNotNull())
     rows = rows.where(within(F.col("path"), under)) if under else rows
-    return _numbered(groups(rows.select(F.col("simhash").alias("v"), "path", "size", "mtime"), distance)).select("set", "files", "path", "size", "mtime")
+    return _numbered(groups(rows.select(F.col("simhash").alias("v"), "path", "size", "mtime"), distance, hot_bucket)).select("set", "files", "path", "size", "mtime")
 
 
-def near_images(files: DataFrame, distance: int = IMAGE_DISTANCE, under: str | None = None) -> DataFrame:
+def near_images(files: DataFrame, distance: int = IMAGE_DISTANCE, under: str | None = None, hot_bucket: int | None = None) -> DataFrame:
     """The same of images; undecodable and featureless ones (at most DHASH_FLAT_BITS ones or zeros) take no part."""
     from shelfscan.functions.strings import within
 
     ones = F.bit_count("dhash")
     rows = files.where((F.col("is_dir") == 0) & (F.col("dhash") != DHASH_NONE) & (ones > DHASH_FLAT_BITS) & (ones < 64 - DHASH_FLAT_BITS))
     rows = rows.where(within(F.col("path"), under)) if under else rows
-    return _numbered(groups(rows.select(F.col("dhash").alias("v"), "path", "size", "mtime"), distance)).select("set", "files", "path", "size", "mtime")
+    return _numbered(groups(rows.select(F.col("dhash").alias("v"), "path", "size", "mtime"), distance, hot_bucket)).select("set", "files", "path", "size", "mtime")

@@ -73,6 +73,19 @@ def test_groups_against_brute_force(make_files):
     assert kinds[0][0] == 1 and kinds[1][0] == kinds[0][1] + 1
 
 
+def test_full_buckets_are_met_in_full(spark, monkeypatch):
+    rng = random.Random(6)
+    copies = spark.createDataFrame([(7,)] * 2001 + [(6,), (7 | 1 << 40,)], "v long")
+    assert rows(similarity.banded_pairs(copies, 3), "v", "w") == [(6, 7), (6, 7 | 1 << 40), (7, 7 | 1 << 40)]
+    assert similarity.banded_pairs(copies, 3, hot_bucket=2000).count() == 0
+    monkeypatch.setattr(similarity, "BLOCK", 7)
+    values = sorted({sum(1 << k for k in rng.sample(range(24), 4)) for _ in range(120)})
+    df = spark.createDataFrame([(v,) for v in values], "v long")
+    for distance, bands in ((3, 4), (10, 8)):
+        want = [(a, b) for a, b in combinations(values, 2) if bin(a ^ b).count("1") <= distance]  # the upper bands are equal
+        assert rows(similarity.banded_pairs(df, distance), "v", "w") == want
+
+
 def test_images_without_features_and_empty(make_files):
     f = make_files({"dhash": 0}, {"dhash": 1}, {"dhash": -(1 << 63)}, {"dhash": -1}, {"dhash": None})
     assert similarity.near_images(f).count() == 0 and similarity.near_texts(f).count() == 0
