@@ -118,7 +118,7 @@ class Index:
             sinks.write_results(tree.listing(f), out, "csv")
         elif fmt in ("txt", "json"):
             with open(out, "w", encoding="utf-8") as file:
-                file.writelines(line + "\n" for line in tree.drawing(f)) if fmt == "txt" else file.write(tree.as_json(f))
+                file.writelines((line + "\n" for line in tree.drawing(f)) if fmt == "txt" else tree.as_json(f))
         else:
             raise ValueError(fmt)
 

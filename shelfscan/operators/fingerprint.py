@@ -35,36 +35,55 @@ BITMAP_LEAST, RIFF_LEAST, TAR_LEAST = 15, 12, 263
 _CONTROL = bytes(b for b in range(32) if b not in (9, 10, 11, 12, 13, 27))
 
 
-def sniff(head: bytes | None, size: int | None = None) -> str:
-    """The type of a content by its first bytes; no bytes are empty, or binary if the size says there are some."""
-    if not head:
-        return "binary" if size else "empty"
-    if b"%PDF-" in head[:1024]:
-        return "pdf"
-    if head.startswith(b"PK\x03\x04"):
-        return next((k for m, k in ZIP_MARKERS if m in head), "zip")
+#: What text in markup opens with (of XML: after a byte order mark; else after blanks, without case) and what then is within it.
+MARKUP = (
+    ("html", b"<?xml", (b"<html", b"xhtml")), ("svg", b"<?xml", (b"<svg",)), ("xml", b"<?xml", (b"",)),
+    ("html", b"<!doctype html", (b"",)), ("html", b"<html", (b"",)), ("svg", b"<svg", (b"",)),
+)
+#: Bytes at the start that are looked at for the opening, and for what is within.
+OPENING, WITHIN = 1024, 2048
+
+
+def _zipped(head: bytes) -> str | None:
+    return next((k for m, k in (*ZIP_MARKERS, (b"", "zip")) if m in head), None) if head.startswith(b"PK\x03\x04") else None
+
+
+def _container(head: bytes) -> str | None:
+    """Formats whose name stands behind a length."""
     if head.startswith(b"RIFF") and len(head) >= RIFF_LEAST:
         return RIFF_TAGS.get(head[8:12], "riff")
-    if head.startswith(b"BM") and len(head) >= BITMAP_LEAST:
-        return "bmp"
     if head.startswith(b"\x00\x00\x00") and head[4:8] == b"ftyp":
-        return next((k for b, k in BRANDS if head[8:12].startswith(b)), "mp4")
-    for at, mark, kind in SIGNATURES:
-        if head.startswith(mark, at) and (kind != "tar" or len(head) >= TAR_LEAST):
-            return kind
-    bare = head[3:] if head.startswith(b"\xef\xbb\xbf") else head
-    if bare.startswith(b"<?xml"):
-        low = head[:2048].lower()
-        return "html" if b"<html" in low or b"xhtml" in low else "svg" if b"<svg" in low else "xml"
-    low = head[:1024].lstrip().lower()
-    if low.startswith((b"<!doctype html", b"<html")):
-        return "html"
-    if low.startswith(b"<svg"):
-        return "svg"
-    if head[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        return next(k for b, k in (*BRANDS, (b"", "mp4")) if head.startswith(b, 8))
+    return "bmp" if head.startswith(b"BM") and len(head) >= BITMAP_LEAST else None
+
+
+def _signed(head: bytes) -> str | None:
+    return next((k for at, m, k in SIGNATURES if head.startswith(m, at) and (k != "tar" or len(head) >= TAR_LEAST)), None)
+
+
+def _marked_up(head: bytes) -> str | None:
+    ways = {True: head.removeprefix(b"\xef\xbb\xbf"), False: head[:OPENING].lstrip().lower()}
+    low = head[:WITHIN].lower()
+    return next((k for k, mark, holds in MARKUP if ways[mark == b"<?xml"].startswith(mark) and any(h in low for h in holds)), None)
+
+
+def _readable(head: bytes) -> str:
+    """Text holds no zero byte and at most a control character in twenty, unless it begins as wide text does."""
+    if head.startswith((b"\xff\xfe", b"\xfe\xff")):
         return "text"
-    odd = len(head) - len(head.translate(None, _CONTROL))
-    return "binary" if b"\x00" in head or odd * 20 > len(head) else "text"
+    controls = len(head) - len(head.translate(None, _CONTROL))
+    return "binary" if 0 in head or 20 * controls > len(head) else "text"
+
+
+#: The rules in the order tried; the first that knows the content names it.
+RULES = (lambda head: "pdf" if b"%PDF-" in head[:OPENING] else None, _zipped, _container, _signed, _marked_up, _readable)
+
+
+def sniff(head: bytes | None, size: int | None = None) -> str:
+    """The type of a content by its first bytes; no bytes are empty, or binary if the size says there are some."""
+    if not head:
+        return "binary" if size else "empty"
+    return next(kind for rule in RULES if (kind := rule(head)))
 
 
 def _series(fn):
@@ -178,21 +197,26 @@ def with_simhashes(files: DataFrame, docs: DataFrame, algorithm: str = "blake2b"
     return joined.select(*(F.coalesce("simhash", "__new").alias("simhash") if c == "simhash" else F.col(c) for c in files.columns))
 
 
-def _read(path: str, size: int | None, full: bool) -> tuple:
-    """phash, fhash, kind of a file; unreadable is a type of its own, a file that is gone has none."""
+def _stretches(path: str, most: int | None):
+    """A file's first PARTIAL_BYTES, then the rest a MiB at a time; only the first if most is 1."""
+    with open(path, "rb", buffering=0) as f:
+        yield f.read(PARTIAL_BYTES)
+        while most is None and (more := f.read(1 << 20)):
+            yield more
+
+
+def fingerprint_file(path: str, size: int | None, full: bool) -> tuple:
+    """phash, fhash, kind of a file; unreadable is a type of its own, a file that is gone has none. The full hash of a file that ends within its
+    first bytes comes with them."""
+    whole, head = hashlib.blake2b(digest_size=32), None
     try:
-        with open(path, "rb") as f:
-            head = f.read(PARTIAL_BYTES)
-            whole = hashlib.blake2b(head, digest_size=32)
-            if len(head) == PARTIAL_BYTES and full:
-                while chunk := f.read(1 << 20):
-                    whole.update(chunk)
-        known = full or len(head) < PARTIAL_BYTES
-        return hashlib.blake2b(head, digest_size=16).hexdigest(), whole.hexdigest() if known else None, sniff(head, size)
-    except FileNotFoundError:
-        return None, None, None
-    except OSError:
-        return None, None, "unreadable"
+        for stretch in _stretches(path, None if full else 1):
+            head = stretch if head is None else head
+            whole.update(stretch)
+    except OSError as problem:
+        return None, None, None if isinstance(problem, FileNotFoundError) else "unreadable"
+    done = full or len(head) < PARTIAL_BYTES
+    return hashlib.blake2b(head, digest_size=16).hexdigest(), whole.hexdigest() if done else None, sniff(head, size)
 
 
 def read_files(jobs: DataFrame, full: bool) -> DataFrame:
@@ -201,7 +225,7 @@ def read_files(jobs: DataFrame, full: bool) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            found = [_read(p, s, full) for p, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            found = [fingerprint_file(p, s, full) for p, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[k] for x in found], pa.string()) for k in range(3))], ["id", "phash", "fhash", "kind"])
 
     spread = jobs.repartition(F.xxhash64("id")).sortWithinPartitions(F.desc("size"))

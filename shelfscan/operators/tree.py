@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfscan.functions.strings import local_time, path_parts, root_part, within
+from shelfscan.functions.strings import human, local_time, path_parts, root_part, within
 
 
 def rollup(files: DataFrame) -> DataFrame:
@@ -40,66 +40,74 @@ def counts(files: DataFrame) -> DataFrame:
     return files.agg(F.count_if(F.col("is_dir") == 1).alias("folders"), F.count_if(F.col("is_dir") == 0).alias("files"))
 
 
-def _ordered(files: DataFrame) -> DataFrame:
-    """Rows in the order a drawing needs them: folders before files on every level, without case."""
-    parts = path_parts(F.col("path"))
-    key = F.transform(parts, lambda p, i: F.concat(F.when((F.col("is_dir") == 0) & (i == F.size(parts) - 1), "1").otherwise("0"), F.lower(p), F.lit("\x00"), p))
-    return files.where(F.col("path").isNotNull()).select(root_part(F.col("path")).alias("root"), parts.alias("parts"), "size", "is_dir", key.alias("k")).orderBy("root", "k")
+def nodes(files: DataFrame) -> DataFrame:
+    """root, depth, name, is_dir, size, files, last, k of every folder (also those that have no row of their own) and file: what a drawing shows.
 
-
-def _size(n: float) -> str:
-    for unit in ("B", "KB", "MB", "GB"):
-        if n < 1024:
-            return f"{n:.0f}{unit}"
-        n /= 1024
-    return f"{n:.1f}TB"
+    k orders them depth first, folders before files, without case; last says that no sibling follows. The last of each folder is an aggregate
+    with map-side combine that meets its own row by the whole key, so a folder of any number of files is no hot group.
+    """
+    key = lambda p, of: F.concat(F.lit(of), F.lower(p), F.lit("\x00"), p)
+    folders = rollup(files).select("root", F.when(F.col("folder") != "", F.split("folder", "/")).otherwise(F.array().cast("array<string>")).alias("parts"), F.lit(1).alias("is_dir"), "size", "files")
+    rows = files.where(F.col("path").isNotNull() & (F.col("is_dir") == 0)).select(root_part(F.col("path")).alias("root"), path_parts(F.col("path")).alias("parts"), F.lit(0).alias("is_dir"), F.coalesce("size", F.lit(0)).cast("bigint").alias("size"), F.lit(1).cast("bigint").alias("files"))
+    leaf = F.size("parts") - 1
+    keyed = folders.unionByName(rows).withColumn("k", F.transform("parts", lambda p, i: F.when((F.col("is_dir") == 0) & (i == leaf), key(p, "1")).otherwise(key(p, "0"))))
+    keyed = keyed.select("root", F.size("parts").alias("depth"), F.coalesce(F.try_element_at("parts", F.lit(-1)), F.lit("")).alias("name"), "is_dir", "size", "files", "k")
+    above = F.slice("k", 1, F.greatest(F.lit(0), F.size("k") - 1))
+    ends = keyed.groupBy("root", above.alias("above")).agg(F.max("k").alias("k")).select("root", "k", F.lit(True).alias("last"))
+    return keyed.join(ends, ["root", "k"], "left").select("root", "depth", "name", "is_dir", "size", "files", F.coalesce("last", F.lit(False)).alias("last"), "k")
 
 
-def nested(files: DataFrame) -> dict[str, dict]:
-    """The tree on the driver, fed by an iterator over the sorted rows: for exports, whose result is one document anyway."""
-    roots: dict[str, dict] = {}
-    new = lambda: {"dirs": {}, "files": [], "size": 0, "count": 0}
-    for r in _ordered(files).toLocalIterator():
-        chain = [roots.setdefault(r["root"], new())]
-        for part in r["parts"] if r["is_dir"] else r["parts"][:-1]:
-            chain.append(chain[-1]["dirs"].setdefault(part, new()))
-        if not r["is_dir"]:
-            chain[-1]["files"].append((r["parts"][-1] if r["parts"] else "", r["size"] or 0))
-            for n in chain:
-                n["size"] += r["size"] or 0
-                n["count"] += 1
-    return roots
+def _in_order(files: DataFrame) -> Iterator:
+    shown = nodes(files).orderBy("root", "k").select("root", "depth", "name", "is_dir", "size", "files", "last", human(F.col("size")).alias("human"))
+    return shown.toLocalIterator(prefetchPartitions=True)
 
 
 def drawing(files: DataFrame) -> Iterator[str]:
-    """Lines of the tree, with totals at folders."""
-
-    def label(name: str, node: dict) -> str:
-        return f"{name}  [{_size(node['size'])}, {node['count']:,} file{'' if node['count'] == 1 else 's'}]"
-
-    def walk(node: dict, lead: str) -> Iterator[str]:
-        rows = [(n, d) for n, d in sorted(node["dirs"].items(), key=lambda x: x[0].lower())] + [(n, s) for n, s in sorted(node["files"], key=lambda x: x[0].lower())]
-        for i, (name, item) in enumerate(rows):
-            last = i == len(rows) - 1
-            fork = lead + ("└── " if last else "├── ")
-            if isinstance(item, dict):
-                yield fork + label(name + "/", item)
-                yield from walk(item, lead + ("    " if last else "│   "))
-            else:
-                yield f"{fork}{name}  ({_size(item)})"
-
-    for root, node in sorted(nested(files).items()):
-        yield label(root, node)
-        yield from walk(node, "")
+    """Lines of the tree, with totals at folders. The driver holds a partition of the sorted rows and the open folders."""
+    rails: list[str] = []  # what stands before an entry, a piece an open folder
+    n = None
+    for n, r in enumerate(_in_order(files)):
+        total = f"  [{r['human']}, {r['files']:,} file{'' if r['files'] == 1 else 's'}]"
+        if not r["depth"]:
+            if n:
+                yield ""
+            rails.clear()
+            yield (r["root"] if r["is_dir"] else r["name"]) + total
+            continue
+        del rails[r["depth"] - 1 :]
+        yield "".join(rails) + ("└── " if r["last"] else "├── ") + (r["name"] + "/" + total if r["is_dir"] else f"{r['name']}  ({r['human']})")
+        rails.append("    " if r["last"] else "│   ")
+    if n is not None:
         yield ""
 
 
-def as_json(files: DataFrame) -> str:
-    def shape(name: str, node: dict) -> dict:
-        return {
-            "name": name, "size": node["size"], "files": node["count"],
-            "folders": [shape(n, d) for n, d in sorted(node["dirs"].items(), key=lambda x: x[0].lower())],
-            "items": [{"name": n, "size": s} for n, s in sorted(node["files"], key=lambda x: x[0].lower())],
-        }
-
-    return json.dumps([shape(r, n) for r, n in sorted(nested(files).items())], indent=1, ensure_ascii=False)
+def as_json(files: DataFrame) -> Iterator[str]:
+    """The tree as pieces of one JSON text: an array of the roots, of each folder its name, size, files, then its folders, then its files (items).
+    Pieces come as the sorted rows do."""
+    text = lambda s: json.dumps(s, ensure_ascii=False)
+    open_: list[list] = []  # of each open folder: the list being written, and whether it has an entry
+
+    def close(depth: int) -> str:
+        ends = []
+        while len(open_) > depth:
+            ends.append("]}" if open_.pop()[0] == "items" else '], "items": []}')
+        return "".join(ends)
+
+    yield "["
+    first = True
+    for r in _in_order(files):
+        yield close(r["depth"])
+        at = open_[-1] if open_ else None
+        if at and not r["is_dir"] and at[0] == "folders":
+            yield '], "items": ['
+            at[:] = ["items", False]
+        yield ("" if first else ",") + "\n" if at is None else (",\n" if at[1] else "\n") + " " * r["depth"]
+        first = False
+        if at:
+            at[1] = True
+        if r["is_dir"]:
+            yield f'{{"name": {text(r["name"] if r["depth"] else r["root"])}, "size": {r["size"]}, "files": {r["files"]}, "folders": ['
+            open_.append(["folders", False])
+        else:
+            yield f'{{"name": {text(r["name"])}, "size": {r["size"]}}}'
+    yield close(0) + "]\n"

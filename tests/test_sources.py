@@ -173,3 +173,40 @@ def follower_input(spark, tmp_path, batch):
     """The rows of the batch, from the stream's own log of sources."""
     log = (tmp_path / "cp" / "sources" / "0" / str(batch)).read_text().splitlines()[1:]
     return spark.read.schema(EVENTS).parquet(*[json.loads(x)["path"] for x in log]).collect()
+
+
+def test_layouts_of_formats():
+    w = lambda xml: extract.docx(pack({"word/document.xml": xml})).strip()
+    ns = '<?xml version="1.0"?><w:document xmlns:w="x"><w:body>{}</w:body></w:document>'
+    assert w(ns.format('<w:p><w:r><w:rPr><w:b/></w:rPr><w:t>one</w:t></w:r><w:r><w:t>two &amp; 3</w:t></w:r><w:r><w:tab/><w:t>x</w:t></w:r></w:p><w:p><w:t>next</w:t></w:p>')).split("\n") == ["onetwo & 3 x", "next"]
+    assert w("<w:p><w:t>not well-formed &nbsp; <w:t>read</w:p").split() == ["not", "well-formed", "read"]
+    assert extract.page(b"<html><p>a<br>b<b>old</b></p><script>if (a < b) {}</script>\n<style>p {}</style>t&auml;t</html>").split() == ["a", "bold", "tät"]
+    assert extract.rtf(rb"{\rtf1{\uc2\u8364\'80\'20x}\u233 ?y \{z\}\par\'f6}").split() == ["€x", "éy", "{z}", "ö"]
+    mixed = b"MIME-Version: 1.0\nContent-Type: multipart/alternative; boundary=b\nSubject: s\n\n--b\nContent-Type: text/html\n\n<p>page</p>\n--b\nContent-Type: text/plain\n\nplain\n--b--\n"
+    assert extract.mail(mixed).split() == ["Subject:", "s", "plain"]
+    assert extract.scraped(b"") == "" and extract.scraped(b"abc\x00abcd") == "abcd" and extract.scraped("Wide Ω wide".encode("utf-16-le")) == "Wide \n wide"
+
+
+def test_tree_drawings(spark, make_files):
+    from shelfscan.operators import tree
+
+    f = make_files({"path": "/a/b/x.txt", "size": 10}, {"path": "/a/B2", "is_dir": 1}, {"path": "/a/z", "size": None}, {"path": "/c", "size": 2048}, {"path": "D:\\q\\r", "size": 1}, {"path": None})
+    assert list(tree.drawing(f)) == [
+        "/  [2KB, 3 files]", "├── a/  [10B, 2 files]", "│   ├── b/  [10B, 1 file]", "│   │   └── x.txt  (10B)", "│   ├── B2/  [0B, 0 files]", "│   └── z  (0B)", "└── c  (2KB)", "",
+        "D:\\  [1B, 1 file]", "└── q/  [1B, 1 file]", "    └── r  (1B)", "",
+    ]
+    got = json.loads("".join(tree.as_json(f)))
+    assert [r["name"] for r in got] == ["/", "D:\\"] and got[0]["files"] == 3 and [x["name"] for x in got[0]["folders"][0]["folders"]] == ["b", "B2"]
+    assert got[0]["items"] == [{"name": "c", "size": 2048}] and got[0]["folders"][0]["items"] == [{"name": "z", "size": 0}] and got[0]["folders"][0]["folders"][1]["items"] == []
+    assert json.loads("".join(tree.as_json(f.limit(0)))) == [] and list(tree.drawing(f.limit(0))) == []
+
+
+def test_sniffed_kinds():
+    from shelfscan.operators.fingerprint import sniff
+
+    rows = [
+        (b"", 0, "empty"), (b"", 5, "binary"), (b"x%PDF-1.4", 9, "pdf"), (b"PK\x03\x04..word/", 9, "docx"), (b"PK\x03\x04", 4, "zip"), (b"RIFF0000WAVEfmt ", 16, "wav"), (b"RIFF0000ABCD", 12, "riff"), (b"BM" + b"\x01" * 13, 15, "bmp"),
+        (b"\x00\x00\x00\x18ftypqt  ", 12, "mov"), (b"\x00\x00\x00\x18ftypisom", 12, "mp4"), (b"\x1f\x8b\x08", 3, "gz"), (b"\x00" * 257 + b"ustar\x00", 263, "tar"), (b"\xef\xbb\xbf<?xml?><SVG>", 9, "svg"),
+        (b"<?xml?><a/>", 9, "xml"), (b"  <!DOCTYPE HTML>", 9, "html"), (b"\n<svg>", 9, "svg"), (b"\xff\xfeh\x00", 4, "text"), (b"a\x00b", 3, "binary"), (b"plain", 5, "text"), (b"\x01" * 2 + b"a" * 30, 32, "binary"),
+    ]
+    assert [sniff(h, s) for h, s, _ in rows] == [k for _, _, k in rows]
