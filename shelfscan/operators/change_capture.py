@@ -5,7 +5,8 @@ observation is its moment (`seen`). A run
 
 1. plans: for each partition the range (committed offset, highest offset in the log] is written ahead to the shared
    folder, before any row is worked on; a plan found there without a commit is replayed as it stands;
-2. reads exactly the planned ranges;
+2. reads exactly the planned ranges: rows outside them are dropped before anything is folded, so a replay gives what the
+   plan meant, whatever the log has got since;
 3. folds them to one observation a key and drops the keys that the sink holds at the same or a later offset, so that
    rows a broken run already delivered are not repeated;
 4. commits: the plan's end offsets become the committed ones.
@@ -17,6 +18,7 @@ offset owned them); duplicates and several observations of a key fold to the gre
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +31,8 @@ from shelfscan.session import shared_dir
 SAME_MTIME = 1e-6
 #: A plan holds one line a root; a register with more than this is refused.
 MAX_PARTITIONS = 1_000_000
+#: Up to so many ranges meet the log by broadcast (about 2 MB); more are joined as Spark sees fit.
+BROADCAST_RANGES = 10_000
 
 PLAN = T.StructType(
     [T.StructField("root", T.StringType()), T.StructField("after", T.DoubleType()), T.StructField("upto", T.DoubleType())]
@@ -94,6 +98,20 @@ def _under(scan: DataFrame, roots: DataFrame) -> DataFrame:
     return with_root(scan.where((F.col("is_dir") == 0) & F.col("seen").isNotNull()).select("path", "size", "mtime", "seen"), roots, "path", "root").where(F.col("root").isNotNull())
 
 
+def in_ranges(scan: DataFrame, roots: DataFrame, ranges: list[dict]) -> DataFrame:
+    """path, size, mtime, seen, root of the observations that the planned ranges hold. The least and the greatest offset of the plan are
+    plain conditions on `seen`, which reach the scan; a root's own range is a join with the plan."""
+    starts = [x["after"] for x in ranges]
+    if ranges:
+        scan = scan.where(F.col("seen") <= max(x["upto"] for x in ranges))
+    if starts and None not in starts:
+        scan = scan.where(F.col("seen") > min(starts))
+    plan = scan.sparkSession.createDataFrame([(x["root"], x["after"], x["upto"]) for x in ranges], PLAN)
+    plan = F.broadcast(plan) if len(ranges) <= BROADCAST_RANGES else plan
+    held = _under(scan, roots).join(plan, "root").where((F.col("after").isNull() | (F.col("after") < F.col("seen"))) & (F.col("seen") <= F.col("upto")))
+    return held.select("path", "size", "mtime", "seen", "root")
+
+
 def batch_ranges(scan: DataFrame, roots: DataFrame, committed: dict[str, float] | None = None) -> list[dict]:
     """One range for each root of the log: from its committed offset (roots.last_index, or the later one in
     `committed`) up to the log's end. One aggregate with map-side combine; a row a root reaches the driver."""
@@ -119,22 +137,13 @@ def same(a: Column, b: Column, gap: float | None = None) -> Column:
 def pending(scan: DataFrame, files: DataFrame, roots: DataFrame, ranges: list[dict], retry_status: str = "error") -> DataFrame:
     """path, size, mtime, seen of each path the planned ranges call work for, each once.
 
-    The newest observation of a path decides (equal moments: the larger size and mtime, so that the choice does not depend
-    on order); it counts if it lies in its root's range and the sink `files` has no row of the path or one written
-    before it. It is work if the sink has no row, size or mtime differ, or the row's status is `retry_status`. Rows without path, moment
-    or root are no observation. Several sink rows of a path count as the latest written. Empty tables give no rows.
-    The fold is one aggregate with map-side combine, so a path with a third of the log is no hot group.
+    The newest observation of a path within its root's range decides (equal moments: the larger size and mtime, so that the choice does not
+    depend on order); it counts if the sink `files` has no row of the path or one written before it. It is work if the sink has no row,
+    size or mtime differ, or the row's status is `retry_status`. Rows without path, moment or root are no observation. Several sink rows
+    of a path count as the latest written. Empty tables give no rows. The fold is one aggregate with map-side combine, so a path with a
+    third of the log is no hot group.
     """
-    spark = scan.sparkSession
-    plan = F.broadcast(spark.createDataFrame([(x["root"], x["after"], x["upto"]) for x in ranges], PLAN))  # a row a root, checked in batch_ranges
-    newest = (
-        _under(scan, roots)
-        .groupBy("path")
-        .agg(F.max(F.struct("seen", "size", "mtime", "root")).alias("x"))
-        .select("path", "x.*")
-        .join(plan, "root")
-        .where((F.col("after").isNull() | (F.col("after") < F.col("seen"))) & (F.col("seen") <= F.col("upto")))
-    )
+    newest = in_ranges(scan, roots, ranges).groupBy("path").agg(F.max(F.struct("seen", "size", "mtime")).alias("x")).select("path", "x.*")
     sink = (
         files.where(F.col("path").isNotNull())
         .groupBy(F.col("path").alias("f_path"))
@@ -153,17 +162,24 @@ def pending(scan: DataFrame, files: DataFrame, roots: DataFrame, ranges: list[di
 
 def run_pending(scan: DataFrame, files: DataFrame, roots: DataFrame, folder: str | None = None) -> tuple[DataFrame, PlanLog, int]:
     """Plans ahead (or takes up the plan a broken run left), and gives the work of that plan with the log to commit to."""
-    spark = scan.sparkSession
-    if folder is None:
-        import uuid
-
-        folder = f"{shared_dir(spark)}/plans-{uuid.uuid4().hex}"
-    log = PlanLog(spark, folder)
+    log = PlanLog(scan.sparkSession, f"{folder or shared_dir(scan.sparkSession)}/plans" + ("" if folder else f"-{uuid.uuid4().hex}"))
     left = log.open_plan()
     n, ranges = left or log.plan(batch_ranges(scan, roots, log.offsets()))
     return pending(scan, files, roots, ranges), log, n
 
 
+def run(scan: DataFrame, files: DataFrame, roots: DataFrame, folder: str | None = None) -> DataFrame:
+    """One whole run in `folder` (a fresh one in the shared folder if none is given): the plan is written ahead, its work delivered to the
+    sink as one batch, the plan committed. Gives the batch as the sink holds it. A run that broke off anywhere is finished by the next: the
+    open plan is replayed and its batch overwrites what was delivered of it."""
+    folder = folder or f"{shared_dir(scan.sparkSession)}/capture-{uuid.uuid4().hex}"
+    work, log, n = run_pending(scan, files, roots, folder)
+    sink = DedupSink(scan.sparkSession, folder)
+    sink.write(work, n)
+    log.commit(n)
+    return sink.batch(n, work.schema)
+
+
 class DedupSink:
     """A keyed table: one folder a batch under `folder`/data, written by overwrite, so a replayed batch replaces itself;
     the current state keeps of each key the row with the greatest offset (key null: dropped)."""
@@ -174,6 +190,10 @@ class DedupSink:
     def write(self, df: DataFrame, n: int) -> None:
         df.where(F.col(self.key).isNotNull()).write.mode("overwrite").parquet(f"{self.folder}/data/batch={n}")
 
+    def batch(self, n: int, schema: T.StructType) -> DataFrame:
+        """What batch n delivered."""
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/data/batch={n}")
+
     def state(self) -> DataFrame:
         rows = self.spark.read.parquet(f"{self.folder}/data")
         rest = [c for c in rows.columns if c not in (self.key, self.offset, "batch")]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfscan.functions.constants import FILE_COLUMNS
 from shelfscan.functions.strings import within
 from shelfscan.operators.similarity import near_images, near_texts, numbered
+from shelfscan.session import written
 
 
 def own(files: DataFrame) -> DataFrame:
@@ -58,13 +59,14 @@ def content_sets(files: DataFrame) -> DataFrame:
     """set, files, path, size, mtime of sets of one content, the largest first."""
     rows = by_content(files)
     sets = rows.groupBy("fhash").agg(F.max("size").alias("big"))
-    return rows.join(numbered(sets, [F.desc("big"), F.asc("fhash")], "set").select("fhash", "set"), "fhash").select("set", F.col("copies").alias("files"), "path", "size", "mtime")
+    return rows.join(numbered(sets, [F.desc("big"), F.asc("fhash")], "set").select("fhash", F.col("set").cast("int").alias("set")), "fhash").select("set", F.col("copies").alias("files"), "path", "size", "mtime")
 
 
 def combined(files: DataFrame) -> DataFrame:
     """set, match, path, size, mtime of all three kinds; each kind's numbers follow the last of the one before."""
     out, last = None, 0
-    for label, rows in (("identical", content_sets(files)), ("near-text", near_texts(files)), ("similar-image", near_images(files))):
+    for label, kind in (("identical", content_sets), ("near-text", near_texts), ("similar-image", near_images)):
+        rows = written(kind(files), "sets")
         part = rows.select((F.col("set") + last).cast("int").alias("set"), F.lit(label).alias("match"), "path", "size", "mtime")
         last += rows.agg(F.coalesce(F.max("set"), F.lit(0))).collect()[0][0]
         out = part if out is None else out.unionByName(part)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from shelfscan.functions.constants import AUDIO_EXTS, CLOUD_MASK, IMAGE_EXTS, INDEXABLE_EXTS, MAX_FILE_BYTES, OCR_FEW_CHARS
 from shelfscan.functions.strings import ascii_lower
-from shelfscan.operators.roots import root_key, with_root
+from shelfscan.operators.roots import with_root
+from shelfscan.session import written
 
 SAME_MTIME = 1e-6
 FINGERPRINTS = ("phash", "fhash", "kind", "dhash")
@@ -71,33 +72,30 @@ def upsert(files: DataFrame, rows: DataFrame) -> DataFrame:
     """files with rows (path, name, ext, size, mtime, indexed, chars, status, error, is_dir) written over it by path. What describes the bytes
     (FINGERPRINTS) stays only if size and mtime are equal, simhash only if chars are too; name and ext of a known path stay. New paths get ids
     after the largest; of several rows of a path the last indexed counts. One full outer join by path."""
-    fresh = [c for c in rows.columns if c != "path"]
-    new = rows.where(F.col("path").isNotNull()).groupBy("path").agg(F.max(F.struct("indexed", *[c for c in fresh if c != "indexed"])).alias("__row"))
-    joined = files.alias("f").join(new, "path", "full_outer")
-    hit, known = F.col("__row").isNotNull(), F.col("f.id").isNotNull()
-    bytes_same = (F.col("f.size") == F.col("__row.size")) & (F.col("f.mtime") == F.col("__row.mtime"))
-    text_same = bytes_same & (F.col("f.chars") == F.col("__row.chars"))
-    top = files.agg(F.coalesce(F.max("id"), F.lit(0))).collect()[0][0]
     from shelfscan.operators.similarity import numbered
 
-    added = numbered(joined.where(~known).select("path"), [F.asc("path")], "__new")
-    out = []
-    for c in files.columns:
-        if c == "path":
-            out.append(F.col("path"))
-        elif c == "id":
-            out.append(F.coalesce("f.id", F.col("__new") + F.lit(top)).alias("id"))
-        elif c in ("name", "ext"):
-            out.append(F.when(known, F.col(f"f.{c}")).otherwise(F.col(f"__row.{c}")).alias(c))
-        elif c in fresh:
-            out.append(F.when(hit, F.col(f"__row.{c}")).otherwise(F.col(f"f.{c}")).alias(c))
-        elif c in FINGERPRINTS:
-            out.append(F.when(~hit | bytes_same, F.col(f"f.{c}")).alias(c))
-        elif c == "simhash":
-            out.append(F.when(~hit | text_same, F.col(f"f.{c}")).alias(c))
-        else:
-            out.append(F.col(f"f.{c}").alias(c))
-    return joined.join(added, "path", "left").select(*out)
+    fresh = [c for c in rows.columns if c != "path"]
+    new = rows.where(F.col("path").isNotNull()).groupBy("path").agg(F.max(F.struct("indexed", *[c for c in fresh if c != "indexed"])).alias("__row"))
+    # read twice below (the new paths are numbered), so written once
+    joined = written(files.withColumn("__known", F.lit(True)).join(new, "path", "full_outer"), "joined")
+    hit, known = F.col("__row").isNotNull(), F.col("__known").isNotNull()
+    bytes_same = (F.col("size") == F.col("__row.size")) & (F.col("mtime") == F.col("__row.mtime"))
+    text_same = bytes_same & (F.col("chars") == F.col("__row.chars"))
+
+    def value(c: str) -> Column:
+        if c in ("name", "ext"):
+            return F.when(known, F.col(c)).otherwise(F.col(f"__row.{c}"))
+        if c in fresh:
+            return F.when(hit, F.col(f"__row.{c}")).otherwise(F.col(c))
+        if c in FINGERPRINTS:
+            return F.when(~hit | bytes_same, F.col(c))
+        return F.when(~hit | text_same, F.col(c)) if c == "simhash" else F.col(c)
+
+    rest = [value(c).alias(c) for c in files.columns if c not in ("path", "id")]
+    top = joined.agg(F.coalesce(F.max("id"), F.lit(0))).collect()[0][0]
+    added = numbered(joined.where(~known).select("path", *rest), [F.asc("path")], "__new")
+    old = joined.where(known).select("id", "path", *rest)
+    return old.unionByName(added.select((F.col("__new") + F.lit(top)).alias("id"), "path", *(c for c in files.columns if c not in ("path", "id")))).select(*files.columns)
 
 
 def name_only(walk: DataFrame, indexed: float) -> DataFrame:

@@ -87,14 +87,14 @@ def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
         offsets.append((p, total))
         total += n
     first = held.sparkSession.createDataFrame(offsets, "__p bigint, __first bigint")
-    number = (F.col("__first") + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))).cast("int")
+    number = (F.col("__first") + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))).cast("bigint")
     return held.withColumn("__p", part).join(F.broadcast(first), "__p").withColumn(name, number).drop("__p", "__first", at)
 
 
 def _numbered(members: DataFrame) -> DataFrame:
     """Sets in order: the most files first, then the largest file first (ties: the first path). set counts from 1."""
     per = members.groupBy("label").agg(F.count("*").alias("files"), F.max(F.coalesce("size", F.lit(0))).alias("big"), F.min("path").alias("first"))
-    order = numbered(per, [F.desc("files"), F.desc("big"), F.asc("first")], "set").select("label", "files", "set")
+    order = numbered(per, [F.desc("files"), F.desc("big"), F.asc("first")], "set").select("label", "files", F.col("set").cast("int").alias("set"))
     return members.join(order, "label").drop("label")
 
 

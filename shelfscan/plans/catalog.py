@@ -60,10 +60,9 @@ def _files(spark, d):
           AND (f.path IS NULL OR s.size IS DISTINCT FROM f.size OR f.status = 'error'
                OR (s.mtime IS NULL) <> (f.mtime IS NULL) OR abs(s.mtime - f.mtime) >= 1e-6)""")
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    from shelfscan.operators.change_capture import run_pending
+    from shelfscan.operators.change_capture import run
 
-    work, _, _ = run_pending(load(spark, d, "scan"), _files(spark, d), load(spark, d, "roots"))
-    return work.select("path")
+    return run(load(spark, d, "scan"), _files(spark, d), load(spark, d, "roots")).select("path")
 
 
 # --- predicates and the query language -----------------------------------------------

@@ -49,9 +49,9 @@ def test_a_broken_run_is_replayed(spark, make_files, tmp_path):
     first = scan(spark, {"path": "/r/a"}, {"path": "/r/b", "seen": 11.0})
     work, log, n = cc.run_pending(first, files.limit(0), r, folder)
     sink.write(work, n)  # and no commit
-    more = first.union(scan(spark, {"path": "/r/c", "seen": 12.0}))
+    more = first.union(scan(spark, {"path": "/r/c", "seen": 12.0}, {"path": "/r/a", "seen": 12.5, "size": 4}))  # also a newer row of a planned path
     work, log, again = cc.run_pending(more, files.limit(0), r, folder)
-    assert again == n and sorted(x["path"] for x in work.collect()) == ["/r/a", "/r/b"]
+    assert again == n and sorted((x["path"], x["seen"]) for x in work.collect()) == [("/r/a", 10.0), ("/r/b", 11.0)]
     sink.write(work, again)
     log.commit(again)
     assert sink.state().count() == 2 and log.offsets() == {"/r": 11.0}
@@ -65,6 +65,23 @@ def test_a_broken_run_is_replayed(spark, make_files, tmp_path):
         log._write(f"{third}.plan", "[]")
 
 
+def test_runs_deliver_each_change_once(spark, make_files, tmp_path):
+    files, r, folder = make_files(), roots(spark, ("/r", 5.0), ("/n", None)), f"file://{tmp_path}/runs"
+    s = scan(spark, {"path": "/r/a", "seen": 4.0}, {"path": "/r/b", "seen": 6.0}, {"path": "/n/c", "seen": 1.0})
+    first = cc.run(s, files.limit(0), r, folder)
+    assert sorted(x["path"] for x in first.collect()) == ["/n/c", "/r/b"]
+    assert cc.run(s, files.limit(0), r, folder).count() == 0
+    more = s.union(scan(spark, {"path": "/r/b", "seen": 7.0, "size": 3}))
+    assert [(x["path"], x["size"]) for x in cc.run(more, files.limit(0), r, folder).collect()] == [("/r/b", 3)]
+
+
+def test_ranges_reach_the_scan(spark, tmp_path):
+    scan(spark, {"path": "/r/a"}).write.parquet(f"{tmp_path}/scan")
+    held = cc.in_ranges(spark.read.parquet(f"{tmp_path}/scan"), roots(spark, ("/r", 3.0)), [{"root": "/r", "after": 3.0, "upto": 12.0}])
+    plan = held._jdf.queryExecution().toString()
+    assert "GreaterThan(seen,3.0)" in plan and "LessThanOrEqual(seen,12.0)" in plan and held.count() == 1
+
+
 def test_classify(spark, make_files):
     files = make_files({"path": "/u", "size": 1, "mtime": 1.0}, {"path": "/c", "size": 2, "mtime": 1.0}, {"path": "/l", "size": 1, "mtime": 1.0, "status": "listed"}, {"path": "/e", "size": 1, "mtime": 1.0, "status": "error", "error": "X"}, {"path": "/x", "size": 1, "mtime": 1.0, "status": "error", "error": "extractor died"}, {"path": "/gone"}, {"path": "/n", "size": None, "mtime": None})
     s = scan(spark, {"path": "/u", "mtime": 1.0000005}, {"path": "/c"}, {"path": "/l"}, {"path": "/e"}, {"path": "/x"}, {"path": "/new"}, {"path": "/n", "size": None, "mtime": None})
@@ -123,4 +140,4 @@ def test_tree(spark, make_files):
     got = {(r["root"], r["folder"]): (r["size"], r["files"]) for r in tree.rollup(files).collect()}
     assert got == {("/", ""): (1024, 2), ("/", "a"): (1024, 2), ("/", "a/b"): (1024, 1), ("/", "a/B2"): (0, 0), ("D:\\", ""): (3, 1)}
     assert list(tree.drawing(files)) == ["/  [1KB, 2 files]", "└── a/  [1KB, 2 files]", "    ├── b/  [1KB, 1 file]", "    │   └── c.txt  (1KB)", "    ├── B2/  [0B, 0 files]", "    └── d.txt  (0B)", "", "D:\\  [3B, 1 file]", "└── x  (3B)", ""]
-    assert '"items"' in tree.as_json(files) and tree.listing(files, "/a/").count() == 3 and tree.rollup(files.limit(0)).count() == 0
+    assert '"items"' in "".join(tree.as_json(files)) and tree.listing(files, "/a/").count() == 3 and tree.rollup(files.limit(0)).count() == 0
