@@ -235,18 +235,34 @@ def test_neighbours(spark):
     assert set(map(tuple, neighbours.neighbour_pairs(copies, 5, 0).collect())) == closest([(i, 7) for i in range(8)], 5, 0)
 
 
-def test_recall_of_the_forest_at_size():
-    """Deep trees, against brute force, on random fingerprints with a planted neighbour at up to 8 bits."""
+@pytest.mark.parametrize("rows, depth", [(20_000, 8), (1_000_000, 14), (50_000_000, 19), (800_000_000, 23)])
+def test_recall_of_the_forest_at_size(rows, depth):
+    """Of random fingerprints with a neighbour planted at 8 bits, how often one end visits the leaf of the other; the sample is bounded, so trees
+    of any depth can be tried with few rows."""
     rng = np.random.default_rng(1)
-    v = rng.integers(-(2**63), 2**63 - 1, 20_000)
+    v = rng.integers(-(2**63), 2**63 - 1, min(rows, 200_000))
     q = v[:500].copy()
     for i in range(500):
-        for b in rng.choice(64, rng.integers(1, 9), replace=False):
+        for b in rng.choice(64, 8, replace=False):
             q[i] ^= np.int64(np.uint64(1) << np.uint64(b))
-    forest = neighbours.Forest.fit(v[:8000], len(v))
-    leaves, (tree, leaf) = forest.leaves(v[:500]), forest.visits(q)
-    hit = [(leaves[i][tree[i]] == leaf[i]).any() for i in range(500)]
-    assert np.mean(hit) >= 0.9 and forest.depth == 7
+    forest = neighbours.Forest.fit(v[-neighbours.SAMPLE :], rows)
+    there = lambda a, b: (forest.leaves(a)[np.arange(500)[:, None], forest.visits(b)[0]] == forest.visits(b)[1]).any(1)
+    assert forest.depth == depth and (there(v[:500], q) | there(q, v[:500])).mean() >= 0.9
+    sizes = np.bincount(forest.leaves(v[:100_000])[:, 0], minlength=1 << depth)
+    assert depth > 15 or sizes.max() <= neighbours.HOT_LEAF * max(1, len(v[:100_000]) >> depth) + 20
+
+
+def test_hot_leaves_are_met_in_blocks(spark, monkeypatch):
+    """Fingerprints that no plane parts are all in one leaf; every pair of them is met, a block at a time."""
+    monkeypatch.setattr(neighbours, "LEAF", 4)
+    rng = random.Random(7)
+    rows = [(i, sum(1 << b for b in rng.sample(range(64), 2))) for i in range(120)]
+    rows = sorted({v - (1 << 64) if v >> 63 else v: (i, v - (1 << 64) if v >> 63 else v) for i, v in rows}.values())
+    one = spark.createDataFrame([(v, 0) for _, v in rows], "v long, place long")
+    got = {tuple(r) for r in neighbours._met(one, one.withColumnRenamed("v", "w"), 3).collect()}
+    bits = lambda a, b: bin((a ^ b) & (2**64 - 1)).count("1")
+    assert got == {(a, b, bits(a, b)) for _, a in rows for _, b in rows if a != b and bits(a, b) <= 3}
+    assert set(map(tuple, neighbours.neighbour_pairs(spark.createDataFrame(rows, "id long, v long"), 5, 8).collect())) == closest(rows, 5, 8)
 
 
 # --- p7 ---------------------------------------------------------------------------------
