@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from shelfscan.session import release, written
+from shelfscan.operators.connect import both_ways, connected
+from shelfscan.session import written
 
-#: Breadth-first rounds after which the peeled part is contracted to one vertex and left to the propagation.
+#: Breadth-first rounds after which what was reached is taken out as it is.
 PEEL_ROUNDS = 8
 #: A frontier that adds less than this share of what was reached ends the peeling.
 THIN = 0.05
-MAX_ROUNDS = 200
 
 
 def edges_of(pairs: DataFrame, ids: DataFrame | None) -> DataFrame:
@@ -23,74 +23,46 @@ def edges_of(pairs: DataFrame, ids: DataFrame | None) -> DataFrame:
     return e.select("a", "b")
 
 
-def _both(e: DataFrame) -> DataFrame:
-    return e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-
-
-def _peel(both: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """Vertices reached from the highest-degree vertex (equal degrees: the smallest id), the directed edges left
-    when they are taken out, where a part not reached to its end keeps its outer edges with the start in its place, and the start."""
-    hub = both.groupBy("a").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "a").limit(1).select("a").collect()
-    start = hub[0][0]
-    reached = written(both.sparkSession.createDataFrame([(start,)], "a bigint"))
-    frontier, size = reached, 1
+def _peel(both: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Vertices (v) reached from the highest-degree vertex (equal degrees: the smallest id), and those of the last frontier, whose neighbours were not looked at."""
+    hub = both.groupBy("v").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "v").limit(1).select("v")
+    reached = frontier = written(hub, "reached")
+    size = 1
     for _ in range(PEEL_ROUNDS):
-        ahead = both.join(frontier, "a", "left_semi").select(F.col("b").alias("a")).distinct()
-        frontier = written(ahead.join(reached, "a", "left_anti"))
-        new = frontier.count()
+        seen = Observation()
+        ahead = both.join(frontier, "v", "left_semi").select(F.col("w").alias("v")).distinct().join(reached, "v", "left_anti")
+        frontier = written(ahead.observe(seen, F.count(F.lit(1)).alias("n")), "frontier")
+        new = seen.get["n"]
         if not new:
             break
-        reached = written(reached.union(frontier))
+        reached = written(reached.union(frontier), "reached")
         size += new
         if new < THIN * size:
             break
-    inner = reached.select("a", F.lit(True).alias("in"))
-    marked = both.join(inner, "a", "left").join(inner.select(F.col("a").alias("b"), F.col("in").alias("in_b")), "b", "left")
-    at = lambda c, flag: F.when(F.col(flag), F.lit(start)).otherwise(F.col(c)).alias(c)
-    rest = marked.where(F.col("in").isNull() | F.col("in_b").isNull()).select(at("a", "in"), at("b", "in_b")).distinct()
-    return reached, written(rest), start
-
-
-def _propagate(both: DataFrame) -> DataFrame:
-    """(v, label): the smallest vertex of each component of the directed edges, by minimum propagation. In each round a
-    vertex takes the smallest label among its own and its neighbours', passes it on to the vertex it was labelled with, and
-    then takes its label's label; so a chain of n vertices needs about log n rounds, not n."""
-    state = written(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
-    for _ in range(MAX_ROUNDS):
-        sent = both.join(state, both.a == state.v).groupBy(F.col("b").alias("v")).agg(F.min("label").alias("got"))
-        step = state.join(sent, "v").select("v", "label", F.least("label", "got").alias("new"))
-        passed = step.where(F.col("new") < F.col("label")).groupBy(F.col("label").alias("v")).agg(F.min("new").alias("passed"))
-        step = step.join(passed, "v", "left").select("v", "label", F.least("new", "passed").alias("new"))
-        of = step.select(F.col("v").alias("l_v"), F.col("new").alias("l_new"))
-        new = written(step.join(of, F.col("new") == F.col("l_v"), "left").select("v", "label", F.least("new", "l_new").alias("new")))
-        changed = new.where(F.col("new") < F.col("label")).limit(1).count()
-        release(state)
-        if not changed:
-            return new.select("v", F.col("new").alias("label"))
-        state = new.select("v", F.col("new").alias("label"))
-        state._written = new._written
-    raise RuntimeError("minimum propagation did not settle")
+    return reached, frontier
 
 
 def group_ids(pairs: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """id, group_id: each id in a group of two or more; group_id is the smallest id linked directly or indirectly.
 
     Loops, nulls, repeated rows, either order of a pair, and ids not in `ids` are dealt with; other columns are ignored; no
-    pair that counts gives no rows. No graph data reaches the driver but the hub's id and counts.
+    pair that counts gives no rows. No graph data reaches the driver but counts.
 
-    The component of the highest-degree vertex (the giant one, if there is a giant) is peeled by breadth-first joins of
-    its frontier and taken out by anti-join; if it is not at its end when the frontier gets thin, what was reached stays as one
-    vertex. The rest is labelled by minimum propagation. Joins carry one row a vertex and aggregates combine on the map
-    side; a hub's edges are the only long key, and they are gone with the peeled part.
+    The component of the highest-degree vertex (the giant one, if there is a giant) is peeled by breadth-first joins of its frontier and taken out,
+    vertices and edges, by anti-joins; the rest is labelled by minimum propagation (operators.connect). If the peeling ends before the component
+    does, because its frontier gets thin, the groups of the rest that touch the last frontier belong to it too: a join with those groups' labels, so
+    no vertex stands for the peeled part and none of its edges stay.
     """
-    both = written(_both(edges_of(pairs, ids)))
-    if both.limit(1).count() == 0:
-        return both.select(F.col("a").alias("id"), F.col("b").alias("group_id"))
-    reached, rest, start = _peel(both)
-    labels = _propagate(rest)
-    # everything reached has the start's label: if the start still has edges, the propagated one
-    low = reached.agg(F.min("a")).collect()[0][0]
-    tail = labels.where(F.col("v") == start).agg(F.min("label")).collect()[0][0]
-    giant, taken = (low, start) if tail is None else (min(low, tail), tail)
-    others = labels.where(F.col("v") != start).select(F.col("v").alias("id"), F.when(F.col("label") == taken, F.lit(giant)).otherwise(F.col("label")).alias("group_id"))
-    return reached.select(F.col("a").alias("id"), F.lit(giant).alias("group_id")).union(others)
+    both = written(both_ways(edges_of(pairs, ids).select(F.col("a").alias("v"), F.col("b").alias("w"))), "both")
+    reached, frontier = _peel(both)
+    outer = both.join(reached, "v", "left_anti")
+    rest = outer.join(reached.withColumnRenamed("v", "w"), "w", "left_anti").select("v", "w")
+    labels = connected(rest)
+    # of vertices outside that the last frontier meets, those with no other neighbour have no label yet
+    touched = outer.join(frontier.withColumnRenamed("v", "w"), "w", "left_semi").select("v").distinct()
+    held = written(labels.join(touched.withColumn("t", F.lit(True)), "v", "full_outer").select("v", F.coalesce("label", "v").alias("label"), F.coalesce("t", F.lit(False)).alias("t")), "labels")
+    joined = held.where("t").select("label").distinct()
+    inside = reached.union(held.join(joined, "label", "left_semi").select("v"))
+    least = inside.agg(F.min("v")).collect()[0][0]
+    others = held.join(joined, "label", "left_anti").select("v", F.col("label").alias("group_id"))
+    return inside.select("v", F.lit(least).cast(dict(inside.dtypes)["v"]).alias("group_id")).union(others).withColumnRenamed("v", "id")

@@ -38,6 +38,13 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return similar_pairs(load(spark, d, "docs"), width=3, share=0.6)
 
 
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    """id, class_id, copies, links: the form without pairs, at five words and 0.8."""
+    from shelfscan.llm.near import classes
+
+    return classes(load(spark, d, "docs"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     from shelfscan.llm.neighbours import neighbour_pairs
 
@@ -88,7 +95,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found, "p7_repaired": p7_repaired, "p8_ids": p8_ids,
+    "p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_classes": p4_classes, "p6_found": p6_found, "p7_found": p7_found, "p7_repaired": p7_repaired, "p8_ids": p8_ids,
     "p8_decoded": p8_decoded, "p9_containers": p9_containers, "p10_found": p10_found,
 }
 
@@ -106,6 +113,14 @@ SQL = {
         n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
         p AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY a.id, b.id)
         SELECT id_a, id_b FROM p JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE 10 * c >= 6 * (x.n + y.n - c)""",
+    "p4_classes": r"""
+        WITH t AS (SELECT id, body, min(id) OVER (PARTITION BY body) AS class_id, count(*) OVER (PARTITION BY body) AS copies FROM docs WHERE length(body) >= 200),
+        w AS (SELECT id, regexp_extract_all(lower(body), '[\p{L}\p{N}_]{2,}') AS l FROM t WHERE id = class_id),
+        s AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(l) - 3), lambda i: l[i] || ' ' || l[i + 1] || ' ' || l[i + 2] || ' ' || l[i + 3] || ' ' || l[i + 4])) AS g FROM w WHERE len(l) > 4),
+        n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+        p AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.id <> b.id GROUP BY a.id, b.id),
+        k AS (SELECT a AS class_id, count(*) AS links FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 10 * c >= 8 * (x.n + y.n - c) GROUP BY a)
+        SELECT id, class_id, copies, coalesce(links, 0) AS links FROM t LEFT JOIN k USING (class_id)""",
     "p6_found": _closest("dhash", "bit_count(dhash) BETWEEN 9 AND 55", 8) + " UNION ALL " + _closest("simhash", "simhash IS NOT NULL AND chars >= 600", 3),
     "p2_found": """
         WITH RECURSIVE e AS (

@@ -198,16 +198,36 @@ def test_similar_empty_and_long(spark):
     assert near.similar_pairs(df.limit(0), 3, 0.6).count() == 0
 
 
-def test_long_lists_are_merged_in_full():
-    """A list longer than SHORT gives all its pairs, also when it spans batches."""
+@pytest.mark.parametrize("longest", [10_000, 20])
+def test_long_lists_are_merged_in_full(longest):
+    """A list longer than SHORT gives all its pairs, also when it spans batches; one longer than `longest` is passed on whole."""
     import pyarrow as pa
 
     n = 3 * near.SHORT
     h = np.array([1, 1] + [5] * n + [9], np.int64)
     ids = np.arange(len(h))
     batch = lambda s: pa.RecordBatch.from_arrays([pa.array(h[s]), pa.array(ids[s]), pa.array(np.full(len(h[s]), 10, np.int32))], ["h", "id", "n"])
-    out = [p for b in near._merged(0.6)([batch(slice(0, 20)), batch(slice(20, 21)), batch(slice(21, None))]) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-    assert sorted(out) == sorted([(0, 1)] + [(2 + a, 2 + b) for b in range(n) for a in range(b)])
+    for cuts in ([20, 21], [40], [], [2, 50], range(1, n)):
+        ends = [0, *cuts, len(h)]
+        out = [tuple(r.values()) for b in near._merged(0.6, longest)([batch(slice(a, z)) for a, z in zip(ends, ends[1:])]) for r in b.select(["a", "b", "h"]).to_pylist()]
+        inner = [(2 + a, 2 + b, None) for b in range(n) for a in range(b)] if n <= longest else [(2 + a, None, 5) for a in range(n)]
+        assert sorted(out, key=str) == sorted([(0, 1, None)] + inner, key=str), cuts
+
+
+def test_one_sequence_in_all_texts_and_one_text_a_third(spark, monkeypatch):
+    """Lists and classes far beyond a block give the same pairs as brute force."""
+    monkeypatch.setattr(near, "CLASS", 7)
+    rng = random.Random(12)
+    tail = " ".join(rng.choice(WORDS) for _ in range(60))
+    texts = [(i, f"w{i} x{i} y{i} " * rng.choice([1, 4]) + tail + f" z{i % 9} q{i % 9} r{i % 9}") for i in range(60)] + [(100 + i, "the same text of all " * 12) for i in range(30)]
+    sets = shingle_sets(texts, 3)
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])}
+    df = spark.createDataFrame(texts, "id long, body string")
+    copies, links = near.similar_texts(df, 3, 0.6, longest=11)
+    assert {tuple(r) for r in links.collect()} == {p for p in want if p[0] < 100} and copies.count() == 30
+    assert {tuple(r) for r in near.similar_pairs(df, 3, 0.6).collect()} == want
+    got = {r["id"]: (r["class_id"], r["copies"], r["links"]) for r in near.classes(df, 3, 0.6).collect()}
+    assert got == {i: (min(i, 100), 30 if i >= 100 else 1, sum(i in p for p in want) if i < 100 else 0) for i, _ in texts}
 
 
 # --- p6 ---------------------------------------------------------------------------------
