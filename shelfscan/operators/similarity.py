@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfscan.functions.constants import DHASH_FLAT_BITS, DHASH_NONE, IMAGE_DISTANCE, NEAR_DISTANCE
-from shelfscan.session import release, written
+from shelfscan.operators.connect import connected
+from shelfscan.session import written
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -45,27 +46,6 @@ def banded_pairs(rows: DataFrame, distance: int, hot_bucket: int | None = None)
     return met.select(F.least("v", "w").alias("v"), F.greatest("v", "w").alias("w")).distinct()
 
 
-def connected(edges: DataFrame) -> DataFrame:
-    """v, label of edges(v, w): the smallest end linked directly or indirectly. Labels pass along edges and to the ends they came from, then
-    jump to their label's label, so chains settle in about the logarithm of their length; each round is a written table."""
-    both = written(edges.select("v", "w").union(edges.select(F.col("w").alias("v"), F.col("v").alias("w"))).distinct())
-    state = written(both.groupBy("v").agg(F.least(F.min("w"), F.first("v")).alias("label")))
-    for _ in range(200):
-        offers = both.join(state, "v").select(F.col("w").alias("v"), F.col("label").alias("offer"))
-        step = state.join(offers.groupBy("v").agg(F.min("offer").alias("offer")), "v").select("v", "label", F.least("label", "offer").alias("new"))
-        passed = step.where("new < label").groupBy(F.col("label").alias("v")).agg(F.min("new").alias("passed"))
-        step = step.join(passed, "v", "left").select("v", "label", F.least("new", "passed").alias("new"))
-        to = step.select(F.col("v").alias("t"), F.col("new").alias("far"))
-        new = written(step.join(to, F.col("new") == F.col("t"), "left").select("v", "label", F.least("new", "far").alias("new")))
-        moved = new.where("new < label").limit(1).count()
-        release(state)
-        state = new.select("v", F.col("new").alias("label"))
-        state._written = new._written
-        if not moved:
-            return state
-    raise RuntimeError("labels did not settle")
-
-
 def groups(rows: DataFrame, distance: int, hot_bucket: int | None = None) -> DataFrame:
     """rows with column label of those rows(v, ...) in a group of two or more rows with like fingerprints, directly or
     through others. Rows of equal fingerprints are like without a band; a class of copies stays one vertex."""
