@@ -35,7 +35,7 @@ def _peel(both: DataFrame) -> tuple[DataFrame, DataFrame]:
         new = seen.get["n"]
         if not new:
             break
-        reached = written(reached.union(frontier), "reached")
+        reached = reached.union(frontier)
         size += new
         if new < THIN * size:
             break
