@@ -26,9 +26,9 @@ def connected(edges: DataFrame) -> DataFrame:
     """v, label of each end of edges(v, w): the smallest end linked directly or indirectly. Loops give nothing; either order and repeated rows are one.
 
     Minimum propagation with contraction. In a round each vertex takes the least vertex among itself and its neighbours, in an order by hash that changes each
-    round, and edges then join what their ends have taken; those within one vertex drop out, and with them all that is settled. So edges and
-    vertices shrink by a constant share a round, chains of any numbering included, and a long chain needs about log n rounds. Then the rounds are
-    followed back, and each group gets its smallest end.
+    round, and then what that vertex has taken; edges then join what their ends have taken, and those within one vertex drop out, and with them
+    all that is settled. So edges and vertices shrink by a constant share a round, chains of any numbering included, and a long chain needs about
+    log n rounds. Then the rounds are followed back, and each group gets its smallest end.
 
     A hub is no hot task: the minima are aggregates with map-side combine, and every join has one row a vertex on the other side, so that the planner
     splits an oversize partition (AQE skew join).
@@ -40,7 +40,8 @@ def connected(edges: DataFrame) -> DataFrame:
             break
         order = lambda c: F.struct(F.xxhash64(c, F.lit(k)).alias("h"), F.col(c).alias("id"))
         least = left.groupBy("v").agg(F.min(order("w")).alias("x")).select("v", F.least("x", order("v"))["id"].alias("to"))
-        taken.append(written(least, "taken"))
+        far = least.select(F.col("v").alias("to"), F.col("to").alias("far"))
+        taken.append(written(least.join(far, "to").select("v", F.col("far").alias("to")), "taken"))
         ends = lambda c: taken[-1].select(F.col("v").alias(c), F.col("to").alias(f"{c}_to"))
         moved = left.join(ends("v"), "v").join(ends("w"), "w").select(F.col("v_to").alias("v"), F.col("w_to").alias("w"))
         shrunk, n = _linked(moved.where("v <> w").distinct())
@@ -53,5 +54,6 @@ def connected(edges: DataFrame) -> DataFrame:
     of = taken.pop()
     while taken:
         below, above = taken.pop(), of.select(F.col("v").alias("to"), F.col("to").alias("root"))
-        of = written(below.join(above, "to", "left").select("v", F.coalesce("root", "to").alias("to")), "roots")
+        of = below.join(above, "to", "left").select("v", F.coalesce("root", "to").alias("to"))
+    of = written(of, "roots")
     return of.join(of.groupBy("to").agg(F.min("v").alias("label")), "to").select("v", "label")
