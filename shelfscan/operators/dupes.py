@@ -62,6 +62,13 @@ def content_sets(files: DataFrame) -> DataFrame:
     return rows.join(numbered(sets, [F.desc("big"), F.asc("fhash")], "set").select("fhash", F.col("set").cast("int").alias("set")), "fhash").select("set", F.col("copies").alias("files"), "path", "size", "mtime")
 
 
+def name_sets(files: DataFrame, exts: list[str] | None = None) -> DataFrame:
+    """set, files, path, size, mtime of sets of one name and size, the largest first."""
+    rows = by_name(files, 0, exts)
+    sets = numbered(rows.select("name", "size").distinct(), [F.desc("size"), F.asc("name")], "set")
+    return rows.join(sets, ["name", "size"]).select(F.col("set").cast("int").alias("set"), F.col("copies").alias("files"), "path", "size", "mtime")
+
+
 def combined(files: DataFrame) -> DataFrame:
     """set, match, path, size, mtime of all three kinds; each kind's numbers follow the last of the one before."""
     out, last = None, 0

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfscan.functions.constants import PARTIAL_BYTES, SIMHASH_MAX_CHARS, SIMHASH_MIN_CHARS
+from shelfscan.functions.constants import DHASH_NONE, PARTIAL_BYTES, SIMHASH_MAX_CHARS, SIMHASH_MIN_CHARS
 from shelfscan.session import spread
 
 # How contents begin, in the order tried; offset, bytes, label.
@@ -230,3 +230,31 @@ def read_files(jobs: DataFrame, full: bool) -> DataFrame:
 
     spread = jobs.repartition(F.xxhash64("id")).sortWithinPartitions(F.desc("size"))
     return spread.select("id", "path", "size").mapInArrow(run, "id bigint, phash string, fhash string, kind string")
+
+
+def read_images(rows: DataFrame, decode) -> DataFrame:
+    """id, dhash of the pictures of rows(id, path), read where all executors see them; decode(content) gives grey bytes, width and height. What can't be read or decoded
+    gets the sentinel DHASH_NONE, so that it is not tried again until it changes; a file that is gone none."""
+    import pyarrow as pa
+
+    def one(path: str) -> int | None:
+        try:
+            with open(path, "rb") as f:
+                found = dhash(*decode(f.read()))
+            return DHASH_NONE if found is None else found
+        except FileNotFoundError:
+            return None
+        except Exception:  # whatever a decoder says of a file
+            return DHASH_NONE
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([one(p) for p in b.column(1).to_pylist()], pa.int64())], ["id", "dhash"])
+
+    return spread(rows.select("id", "path"), "id").mapInArrow(run, "id bigint, dhash bigint")
+
+
+def with_dhashes(files: DataFrame, found: DataFrame) -> DataFrame:
+    """files with the dhash of found(id, dhash) where they have none."""
+    joined = files.join(found.select(F.col("id").alias("__id"), F.col("dhash").alias("__new")), F.col("id") == F.col("__id"), "left")
+    return joined.select(*(F.coalesce("dhash", "__new").alias("dhash") if c == "dhash" else F.col(c) for c in files.columns))

@@ -55,8 +55,29 @@ def postings(docs: DataFrame) -> DataFrame:
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
-    """term, docs, hits of every token."""
-    return postings(docs).groupBy("term").agg(F.count("*").alias("docs"), F.sum(F.size("at")).alias("hits"))
+    """term, docs, hits of every token. Each text gives a row a distinct token with its count, worked out within the row; one aggregate by term with map-side
+    combine adds them up, and no positions move."""
+    t = F.col("t")
+    ordered = _tokenized(docs).select(F.sort_array("t").alias("t"))
+    # in order, a token's run begins where it differs from the one before
+    starts = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (t[i] != t[i - 1]))
+    runs = ordered.where(F.size("t") > 0).select("t", starts.alias("s"))
+    ends = F.concat(F.slice("s", 2, F.size("s")), F.array(F.size("t")))
+    each = runs.select(F.explode(F.zip_with("s", ends, lambda a, b: F.struct(t[a].alias("term"), (b - a).alias("n")))).alias("x")).select("x.*")
+    return each.groupBy("term").agg(F.count("*").alias("docs"), F.sum("n").alias("hits"))
+
+
+@dataclass(frozen=True)
+class Stored:
+    """What an index keeps of its texts: postings(term, id, at, length, gen), sorted by term in each of its versions, and current(id, length, gen), one row a
+    text. A text that was read again has postings of several gens, of which the current one counts; so an update adds rows and rewrites none."""
+
+    postings: DataFrame
+    current: DataFrame
+
+    def of(self, terms: Column) -> DataFrame:
+        """The current postings of the terms that a condition picks; it reaches the scan."""
+        return self.postings.where(terms).join(self.current.select("id", "gen"), ["id", "gen"], "left_semi")
 
 
 # --- expressions ---------------------------------------------------------------
@@ -244,7 +265,7 @@ def _near(node: Near, starts: list[Column]) -> list[Column]:
     return [F.filter(s, lambda y: reduce(lambda a, b: a | b, (holds(y, i) for i in range(len(starts))))) for s in starts]
 
 
-def _positions(docs: DataFrame, posts: DataFrame | None, atoms: list[tuple[str, bool]]) -> DataFrame:
+def _positions(docs: DataFrame, posts: Stored | DataFrame | None, atoms: list[tuple[str, bool]]) -> DataFrame:
     """id, length, a0, a1, ...: where in a text each atom (a word, or words that begin so) stands. From the texts themselves it is a row a text and
     nothing moves; from stored postings a row a text that holds an atom, of which only their row groups are read."""
     fits = lambda x, a: x.startswith(a[0]) if a[1] else x == a[0]
@@ -255,7 +276,8 @@ def _positions(docs: DataFrame, posts: DataFrame | None, atoms: list[tuple[str,
 
         return _tokenized(docs).select("id", F.size("t").alias("length"), *(at(a).alias(f"a{k}") for k, a in enumerate(atoms)))
     tests = [fits(F.col("term"), a) for a in atoms]
-    needed = posts.where(reduce(lambda a, b: a | b, tests, F.lit(False)))
+    wanted = reduce(lambda a, b: a | b, tests) if tests else F.lit(False)
+    needed = posts.of(wanted) if isinstance(posts, Stored) else posts.where(wanted)
     lists = (F.sort_array(F.flatten(F.collect_list(F.when(t, F.col("at"))))).alias(f"a{k}") for k, t in enumerate(tests))
     return needed.groupBy("id").agg(F.first("length").alias("length"), *lists)
 
@@ -294,13 +316,13 @@ def _node(query):
     return parse(query) if isinstance(query, str) else query
 
 
-def matching(docs: DataFrame, query, posts: DataFrame | None = None) -> DataFrame:
+def matching(docs: DataFrame, query, posts: Stored | DataFrame | None = None) -> DataFrame:
     """id of the texts that match (a text to parse, or an expression). Null and empty texts never match; no words, no match."""
     rows, _, matched, _ = _hits(docs, posts, _node(query))
     return rows.where(matched).select("id")
 
 
-def ranked(docs: DataFrame, query, posts: DataFrame | None = None) -> DataFrame:
+def ranked(docs: DataFrame, query, posts: Stored | DataFrame | None = None) -> DataFrame:
     """id, score of the texts that match; the lower the better (bm25, negated). The number of texts, their mean length
     and the texts each phrase is in are counted over all texts first: one row of figures."""
     rows, phrases, matched, bears = _hits(docs, posts, _node(query))
@@ -312,7 +334,8 @@ def ranked(docs: DataFrame, query, posts: DataFrame | None = None) -> DataFrame:
         figures = within_row = rows.agg(*whole, *within).collect()[0]
     else:
         within_row = rows.agg(*within).collect()[0]
-        figures = _tokenized(docs).select(F.size("t").alias("length")).agg(*whole).collect()[0]
+        lengths = posts.current if isinstance(posts, Stored) else _tokenized(docs).select(F.size("t").alias("length"))
+        figures = lengths.agg(*whole).collect()[0]
     if not figures["n"]:
         return rows.where(matched).select("id", F.lit(0.0).alias("score"))
     mean = max(1e-9, (figures["all"] or 0) / figures["n"])
@@ -325,13 +348,21 @@ def ranked(docs: DataFrame, query, posts: DataFrame | None = None) -> DataFrame:
     return rows.where(matched).select("id", score.alias("score"))
 
 
-def search(files: DataFrame, docs: DataFrame, query: str, limit: int = 25, exts: list[str] | None = None) -> DataFrame:
-    """path, score of the best texts of an expression, of some extensions only if given; ties by path."""
-    rows = ranked(docs, query).join(files.select("id", "path", "ext"), "id")
+def search(files: DataFrame, docs: DataFrame, query: str, limit: int = 25, exts: list[str] | None = None, stored: Stored | None = None, snippets: bool = False) -> DataFrame:
+    """path, score (with snippets also size, mtime, is_dir and snippet) of the best texts of an expression, of some extensions only if given; ties by path."""
+    rows = ranked(docs, query, stored).join(files.select("id", "path", "ext", "size", "mtime", "is_dir"), "id")
     if exts:
         rows = rows.where(F.col("ext").isin(exts))
-    rows = rows.select("path", "score").orderBy("score", "path")
-    return rows.limit(limit) if limit > 0 else rows
+    rows = rows.orderBy("score", "path")
+    rows = rows.limit(limit) if limit > 0 else rows
+    if not snippets:
+        return rows.select("path", "score")
+    return with_snippets(rows, docs, query, ["score", "path"]).select("path", "size", "mtime", "is_dir", "score", "snippet")
+
+
+def with_snippets(hits: DataFrame, docs: DataFrame, query, order: list[str]) -> DataFrame:
+    """hits(id, ...) with a snippet of each text, in order: only the texts of the hits are read through."""
+    return hits.join(docs.select("id", F.col("body").alias("__body")), "id", "left").withColumn("snippet", snippet(F.col("__body"), query)).drop("__body").orderBy(*order)
 
 
 def snippet(body: Column, query, width: int = 14) -> Column:

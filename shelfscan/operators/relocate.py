@@ -76,6 +76,22 @@ def stamp(roots: DataFrame, mounts: DataFrame, present: DataFrame, force: bool =
     return y.select(*(F.when(take, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in roots.columns))
 
 
+def restamp(roots: DataFrame, mounts: DataFrame, moved: DataFrame) -> DataFrame:
+    """roots with the mount and label their volume now has, of those that moved(new_path): what a root is cut by at its next move."""
+    own = mounts.where(F.col("volume_id").isNotNull()).groupBy("volume_id").agg(F.min(F.struct("mount", "label")).alias("__own"))
+    here = moved.where(F.col("new_path").isNotNull()).select(F.col("new_path").alias("path"), F.lit(True).alias("__moved")).distinct()
+    x = roots.join(here, "path", "left").join(own, "volume_id", "left")
+    new = F.coalesce(F.col("__moved"), F.lit(False)) & F.col("__own").isNotNull()
+    value = {"mount": F.when(new, F.col("__own.mount")).otherwise(F.col("mount")), "volume_label": F.when(new, F.col("__own.label")).otherwise(F.col("volume_label"))}
+    return x.select(*(value[c].alias(c) if c in value else F.col(c) for c in roots.columns))
+
+
+def swap(plan: DataFrame) -> DataFrame:
+    """path, new_path of moved roots whose destination is another moved root's place: those must be moved at once, as move() does."""
+    moved = plan.where("state = 'moved'").select("path", "new_path")
+    return moved.join(moved.select(F.col("path").alias("new_path")), "new_path", "left_semi").select("path", "new_path")
+
+
 def move(rows: DataFrame, moves: DataFrame, column: str = "path") -> DataFrame:
     """rows with every path at or beneath moves.path rewritten to moves.new_path, all at once (two that swap places need no third), and the rows
     dropped that stood at or beneath a destination and did not move themselves. Compared exactly; the longest source wins."""

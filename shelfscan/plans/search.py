@@ -76,8 +76,9 @@ def limited(df: DataFrame, limit: int) -> DataFrame:
     return df.limit(limit) if limit > 0 else df
 
 
-def find(files: DataFrame, docs: DataFrame | None, text: str, limit: int = 50, clock: Clock | None = None, live: bool = False) -> DataFrame:
-    """path, size, mtime, is_dir, score (null without content terms) of the query's rows, in order. Rows without text never match a content term.
+def find(files: DataFrame, docs: DataFrame | None, text: str, limit: int = 50, clock: Clock | None = None, live: bool = False, stored=None, snippets: bool = False) -> DataFrame:
+    """path, size, mtime, is_dir, score (null without content terms) of the query's rows, in order; with snippets also the stretch of each text that
+    holds the most hits (null without content terms). Rows without text never match a content term. stored: the index's postings (fts.Stored), read in place of the texts.
 
     Conditions stay plain columns, so those on ext, size, mtime and is_dir reach the scan; a limit becomes a top-k. Content
     terms are matched first and their hits joined by id. Null and blank queries give every row, newest first; empty tables none.
@@ -87,28 +88,33 @@ def find(files: DataFrame, docs: DataFrame | None, text: str, limit: int = 50, c
     spec = parse(text, clock)
     rows = filtered(files.select("id", "path", "name", "ext", "size", "mtime", "is_dir"), spec)
     if spec.content_not:
-        gone = fts.matching(docs, fts.safe(" ".join(spec.content_not), negative=True))
+        gone = fts.matching(docs, fts.safe(" ".join(spec.content_not), negative=True), stored)
         rows = rows.join(gone, "id", "left_anti")
-    if spec.content:
-        terms = list(spec.content)
-        if live and (terms[-1][-1].isalnum() or terms[-1][-1] == "_"):
-            terms[-1] += "*"
-        hits = fts.ranked(docs, fts.safe(" ".join(terms)))
-        rows = rows.join(hits, "id").orderBy("score", "path")
-    else:
+    if not spec.content:
         rows = rows.withColumn("score", F.lit(None).cast("double")).orderBy(*weighted(spec))
-    return limited(rows.select("path", "size", "mtime", "is_dir", "score"), limit)
+        out = limited(rows.select("path", "size", "mtime", "is_dir", "score"), limit)
+        return out.withColumn("snippet", F.lit(None).cast("string")) if snippets else out
+    terms = list(spec.content)
+    if live and (terms[-1][-1].isalnum() or terms[-1][-1] == "_"):
+        terms[-1] += "*"
+    node = fts.safe(" ".join(terms))
+    hits = limited(rows.join(fts.ranked(docs, node, stored), "id").orderBy("score", "path"), limit)
+    if snippets:
+        hits = fts.with_snippets(hits, docs, node, ["score", "path"])
+    return hits.select("path", "size", "mtime", "is_dir", "score", *(["snippet"] if snippets else []))
 
 
 def records(rows: DataFrame) -> DataFrame:
-    """Result rows (path, size, mtime, is_dir, more) as records: name, ext and kind from the path, no size or ext for folders."""
-    folder = F.col("is_dir") == 1
-    name = basename(F.col("path"))
-    ext = F.lower(F.regexp_extract(name, r"^\.*[^.].*(\.[^.]*)$", 1))
+    """Result rows (path, size, mtime, is_dir, more) as records. name is the last part of the path without separators at its end (the path where
+    nothing is left); folders have neither size nor ext, a file's unknown size is 0; modified is empty for no time; marks of hits are taken
+    out of a snippet."""
+    folder = F.coalesce(F.col("is_dir") == 1, F.lit(False))
+    last = F.regexp_extract(F.regexp_replace("path", r"[/\\]+$", ""), r"([^/\\]*)$", 1)
+    ext = F.lower(F.regexp_extract(F.regexp_extract("path", r"([^/\\]*)$", 1), r"^\.*[^.].*(\.[^.]*)$", 1))
     more = [c for c in rows.columns if c not in ("path", "size", "mtime", "is_dir")]
     return rows.select(
-        "path", name.alias("name"), F.when(folder, "").otherwise(ext).alias("ext"), F.when(~folder, F.col("size")).alias("size"),
-        local_time(F.col("mtime")).alias("modified"), F.when(folder, "folder").otherwise("file").alias("kind"),
+        "path", F.when(last == "", F.col("path")).otherwise(last).alias("name"), F.when(folder, "").otherwise(ext).alias("ext"), F.when(~folder, F.coalesce("size", F.lit(0))).alias("size"),
+        F.when(F.coalesce(F.col("mtime"), F.lit(0.0)) != 0, local_time(F.col("mtime"))).otherwise("").alias("modified"), F.when(folder, "folder").otherwise("file").alias("kind"),
         *(F.regexp_replace(c, ">>|<<", "").alias(c) if c == "snippet" else F.col(c) for c in more),
     )
 
@@ -127,13 +133,14 @@ def resorted(rows: DataFrame, by: str, descending: bool = False) -> DataFrame:
     return rows.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_first(), "path")
 
 
-def by_trigrams(files: DataFrame, term: str) -> DataFrame:
-    """id, path, name of the files whose name holds the term, narrowed by an index of trigrams before the exact test; terms of fewer than three
-    characters are tested directly. Worth it where trigrams(files) is stored, sorted by trigram."""
-    grams = sorted({fold(term)[k : k + 3] for k in range(len(term) - 2)})
+def by_trigrams(files: DataFrame, term: str, stored: DataFrame | None = None) -> DataFrame:
+    """id, path, name of the files whose name holds the term. With stored (the table of trigrams(), sorted by trigram, of which only the term's row groups are
+    read) the names are narrowed by it before the exact test; without, and for terms of fewer than three characters or with wildcards, the names are
+    tested directly: building the index for one term would cost more than the scan."""
     rows = files.select("id", "path", "name")
-    if grams and "*" not in term and "?" not in term:
-        held = trigrams(files).where(F.col("gram").isin(grams)).groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") == len(grams))
+    grams = sorted({fold(term)[k : k + 3] for k in range(len(term) - 2)})
+    if stored is not None and grams and "*" not in term and "?" not in term:
+        held = stored.where(F.col("gram").isin(grams)).groupBy("id").agg(F.countDistinct("gram").alias("n")).where(F.col("n") == len(grams))
         rows = rows.join(held.select("id"), "id", "left_semi")
     return rows.where(name_matches(F.col("name"), term))
 

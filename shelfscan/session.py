@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,6 +69,19 @@ def cleanup(spark: SparkSession) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes the tables that written() made meanwhile: around a run that has published its results."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        for path in _made[before:]:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        del _made[before:]
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """df over all cores by hash of a key, if it comes in fewer parts than there are cores (one small file is one part, however much work a
     row is); as it is otherwise, so nothing moves that is large."""

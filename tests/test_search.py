@@ -56,9 +56,12 @@ def test_pushdown(make_files, spark, tmp_path):
 def test_records_and_types(make_files):
     f = make_files({"path": "/a/B.TXT", "size": 3, "mtime": 0.0}, {"path": "C:\\", "is_dir": 1, "size": 0}, {"path": "/a/.bashrc", "size": None}, {"path": "/a/..x.gz"})
     got = {r["path"]: r for r in search.records(f.select("path", "size", "mtime", "is_dir")).collect()}
-    assert (got["/a/B.TXT"]["name"], got["/a/B.TXT"]["ext"], got["/a/B.TXT"]["modified"]) == ("B.TXT", ".txt", "1970-01-01 00:00:00")
+    assert (got["/a/B.TXT"]["name"], got["/a/B.TXT"]["ext"], got["/a/B.TXT"]["modified"]) == ("B.TXT", ".txt", "")
     assert got["C:\\"]["name"] == "C:\\" and got["C:\\"]["size"] is None and got["C:\\"]["kind"] == "folder"
-    assert got["/a/.bashrc"]["ext"] == "" and got["/a/..x.gz"]["ext"] == ".gz"
+    assert got["/a/.bashrc"]["ext"] == "" and got["/a/..x.gz"]["ext"] == ".gz" and got["/a/.bashrc"]["size"] == 0 and got["/a/.bashrc"]["modified"] == ""
+    more = make_files({"path": "/a/d/", "is_dir": 1}, {"path": "//"}, {"path": "/a/x.pdf", "mtime": 86400.0}, {"path": None})
+    got = {r["path"]: (r["name"], r["ext"], r["size"], r["modified"]) for r in search.records(more.select("path", "size", "mtime", "is_dir")).collect()}
+    assert got == {"/a/d/": ("d", "", None, ""), "//": ("//", "", 0, ""), "/a/x.pdf": ("x.pdf", ".pdf", 0, "1970-01-02 00:00:00"), None: (None, None, 0, "")}
     assert search.of_type(f, "folders").count() == 1 and search.of_type(f, "").count() == 4 and search.of_type(f, "txt").count() == 4
 
 
@@ -67,6 +70,7 @@ def test_trigrams_are_no_more_than_a_filter(make_files):
     for term in ("letter", "le", "t_t", "tte", "l*r"):
         want = sorted(r["path"] for r in f.where(search.name_matches(F.col("name"), term)).collect())
         assert sorted(r["path"] for r in search.by_trigrams(f, term).collect()) == want
+        assert sorted(r["path"] for r in search.by_trigrams(f, term, search.trigrams(f)).collect()) == want
 
 
 def test_numbers_and_paths(spark):

@@ -37,6 +37,13 @@ def test_walk(spark, tmp_path):
     (tmp_path / "top.md").write_text("")
     got = {r["path"][len(str(tmp_path)) :]: (r["ext"], r["size"], r["is_dir"]) for r in walk.walk(spark, [str(tmp_path), str(tmp_path / "a")]).collect()}
     assert got == {"/a": ("", 0, 1), "/a/F.TXT": (".txt", 5, 0), "/b": ("", 0, 1), "/top.md": (".md", 0, 0)}
+    (tmp_path / "deep" / "1" / "2" / "3").mkdir(parents=True)
+    for k in range(5):
+        (tmp_path / "deep" / "1" / "2" / "3" / f"{k}.txt").write_text("")
+    whole = sorted(r["path"] for r in walk.walk(spark, [str(tmp_path)]).collect())
+    assert len(whole) == 13 and sorted(r["path"] for r in walk.walk(spark, [str(tmp_path)], most=1).collect()) == whole
+    spark.dataSource.register(walk.WalkSource)
+    assert spark.read.format("shelfwalk").option("roots", str(tmp_path)).load().count() == 13 and walk.walk(spark, []).count() == 0
     assert [(r["listed"], r["is_dir"]) for r in walk.walk(spark, ["/no/such/folder"]).collect()] == [(0, 1)]
 
 
@@ -83,8 +90,10 @@ def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "/a", None), (1, "/b", 2), (2, "/c", 3)], "set int, path string, size long").coalesce(1)
     assert sinks.write_results(df, str(tmp_path / "o.csv"), "csv") == 3
     assert (tmp_path / "o.csv").read_text().splitlines() == ["set,path,size", "1,/a,", "1,/b,2", "2,/c,3"]
+    sinks.write_results(df.limit(0), str(tmp_path / "n.json"), "json", "set")
+    assert json.loads((tmp_path / "n.json").read_text()) == []
     sinks.write_results(df, str(tmp_path / "o.json"), "json", "set")
-    assert [[r["path"] for r in g] for g in json.loads((tmp_path / "o.json").read_text())] == [["/a", "/b"], ["/c"]]
+    assert [[r["path"] for r in g] for g in json.loads((tmp_path / "o.json").read_text())] == [["/a", "/b"], ["/c"]] and "set" not in (tmp_path / "o.json").read_text()
     sinks.write_results(df, str(tmp_path / "o.txt"), "txt", "set")
     assert (tmp_path / "o.txt").read_text() == "/a\n/b\n\n/c\n"
     with pytest.raises(ValueError):
@@ -102,6 +111,20 @@ def test_lock(tmp_path):
     with sinks.RunLock(path):
         pass
     assert not os.path.exists(path)
+    (tmp_path / "lock").write_text("")  # about to be filled
+    with pytest.raises(BlockingIOError):
+        sinks.RunLock(path).__enter__()
+    os.utime(path, (1, 1))
+    with sinks.RunLock(path):
+        assert (tmp_path / "lock").read_text() == str(os.getpid())
+    assert os.listdir(tmp_path) == []
+
+
+def test_shared_lock(spark, tmp_path):
+    with sinks.SharedLock(spark, f"file://{tmp_path}/lock"), pytest.raises(BlockingIOError):
+        sinks.SharedLock(spark, f"file://{tmp_path}/lock").__enter__()
+    with sinks.SharedLock(spark, f"file://{tmp_path}/lock"):
+        pass
 
 
 def test_store(spark, tmp_path):
@@ -119,7 +142,62 @@ def test_store(spark, tmp_path):
     assert s.read("files").count() == 5 and len([p for p in os.listdir(tmp_path / "db/files") if p.startswith("v-")]) == 1
     s.write("roots", spark.range(1))
     s.clear()
-    assert sorted(p for p in os.listdir(tmp_path / "db") if not p.startswith(".")) == ["roots"]
+    with pytest.raises(FileNotFoundError):
+        s.read("files")
+    assert s.read("roots").count() == 1 and s.get_meta("k") is None
+
+
+def test_a_crash_leaves_what_was_published(spark, tmp_path, monkeypatch):
+    """Wherever a run breaks off, all tables are as they were; then the next run goes on."""
+    s = sinks.Store(spark, f"file://{tmp_path}/db")
+    s.publish({"a": spark.range(1), "b": spark.range(1)}, {"k": "1"})
+    whole = (s.version, s._put)
+
+    def broken(*_):
+        raise OSError("crash")
+
+    for step in range(3):
+        calls = []
+        version = lambda t, df, sort=None: broken() if len(calls) == step else calls.append(t) or whole[0](t, df, sort)
+        monkeypatch.setattr(s, "version", version)
+        monkeypatch.setattr(s, "_put", broken)
+        with pytest.raises(OSError):
+            s.publish({"a": spark.range(2), "b": spark.range(2)}, {"k": "2"})
+        assert (s.read("a").count(), s.read("b").count(), s.get_meta("k")) == (1, 1, "1")
+    monkeypatch.undo()
+    s.publish({"a": spark.range(2)}, append={"b": spark.range(3)})
+    assert (s.read("a").count(), s.read("b").count(), s.get_meta("k")) == (2, 4, "1")
+    with pytest.raises(OSError):
+        s._put(s.manifest()[0], {})
+
+
+def test_readers_apart(spark, tmp_path):
+    """A reader that crashes or hangs costs its own file; engines are asked in turn."""
+
+    def read(path, recognition):
+        if "crash" in path:
+            os._exit(1)
+        if "hang" in path:
+            import time
+
+            time.sleep(60)
+        return path, "ok", "", path
+
+    apart = extract.Apart(False, 0.5, read)
+    got = [apart(p) for p in ("a", "crash", "b", "hang", "c")]
+    apart.close()
+    assert [g[1] for g in got] == ["ok", "error", "ok", "error", "ok"] and all(g[2].startswith("extractor ") for g in got if g[1] == "error")
+    assert extract.asked([lambda r, e: None, lambda r, e: "", lambda r, e: "x"], b"", ".png") == ""
+    with pytest.raises(RuntimeError):
+        extract.asked([lambda r, e: None], b"", ".png")
+    (tmp_path / "p.pdf").write_bytes(b"words")
+    (tmp_path / "q.html").write_bytes(b"<p>page</p>")
+    extract.PLUGINS[".pdf"] = lambda raw, ext: raw.decode()
+    try:
+        df = spark.createDataFrame([(str(tmp_path / n),) for n in ("p.pdf", "q.html", "none.txt")], "path string")
+        assert {os.path.basename(r["path"]): (r["status"], r["text"]) for r in extract.read_files(df).collect()} == {"p.pdf": ("ok", "words"), "q.html": ("ok", "page"), "none.txt": ("error", "")}
+    finally:
+        del extract.PLUGINS[".pdf"]
 
 
 EVENTS = "event_id long, ts timestamp, op string, path string, to_path string, is_dir int"
