@@ -23,8 +23,11 @@ SURE, TEACH = 0.8, 4
 #: Levels of the share-valued functions.
 LEVELS = 20
 ROUNDS = 30
-#: A subject that fewer of the sentences tell is a passing mention.
-LEAST_SECTION = 0.2
+#: Where the fit begins: below this share of a document's telling words, or of its sentences, a subject is mentioned; above MAIN it is the main one.
+MENTIONED, SECTION, MAIN = 0.22, 0.2, 0.78
+#: How many documents' worth of independence the joint answer of lexicon and section begins with; the share of all documents that the beginning counts on as a
+#: prior of the fit; and the weight of the functions that lean on the lexicon's words (title, address, source), which are less than one voice each.
+PRIOR, ANCHOR, VOICE = 10.0, 0.2, 0.5
 WORD = re.compile(r"[^\W\d_]{3,}")
 SENTENCE = re.compile(r"[^.!?;\n]+")
 ADDRESS = re.compile(r"[\w.+-]+@[\w.-]+|https?://\S+|(?:/[\w.-]+){2,}")
@@ -138,32 +141,41 @@ NAMES = ["lexicon", "section", "title", "address", "source"]
 SIZES = [LEVELS + 1, LEVELS + 1, 2, 2, 2]
 
 
+def _smooth(table: np.ndarray) -> np.ndarray:
+    """Neighbouring levels are alike: a kernel over each axis of the levels."""
+    for axis in range(table.ndim):
+        padded = np.pad(table, [(1, 1) if a == axis else (0, 0) for a in range(table.ndim)], mode="edge")
+        table = np.apply_along_axis(lambda x: np.convolve(x, [0.25, 0.5, 0.25], "valid"), axis, padded)
+    return table
+
+
 def _posterior(patterns: np.ndarray, counts: np.ndarray, known: np.ndarray) -> np.ndarray:
     """P(about | what the functions say) of each pattern. The latent state of a subject in a document is a mention, one of two
-    subjects, or the main one; how each function answers in each state is learned by expectation-maximisation over all
-    documents; known(pattern, no/yes) adds the labelled ones. A document is about a subject in the last two states."""
-    share = patterns[:, 0] / LEVELS
-    p = np.full((3, len(patterns)), 0.02)
-    p[0, share < 0.22], p[1, (share >= 0.22) & (share < 0.78)], p[2, share >= 0.78] = 0.96, 0.96, 0.96
-    passing = patterns[:, 1] < LEAST_SECTION * LEVELS
-    p[:, passing] = np.array([[0.96], [0.02], [0.02]])
+    subjects, or the main one; how the functions answer in each state is learned by expectation-maximisation over all documents; known(pattern, no/yes)
+    adds the labelled ones. A document is about a subject in the last two states.
+
+    Lexicon and section say much the same, so their joint answer is learned; the others answer independently given the state, with VOICE. The states begin by
+    the shares, which stay a prior of weight ANCHOR; no pattern is held to a state."""
+    lexicon, section = patterns[:, 0], patterns[:, 1]
+    share = lexicon / LEVELS
+    begin = np.where((share < MENTIONED) | (section < SECTION * LEVELS), 0, np.where(share < MAIN, 1, 2))
+    p = prior = np.where(np.arange(3)[:, None] == begin, 0.96, 0.02)
     for _ in range(ROUNDS):
         about = p[1:] / p[1:].sum(0)
-        weight = p * counts
+        weight = (p + ANCHOR * prior) * counts
         weight[0] += known[:, 0]
         weight[1:] += about * known[:, 1]
         score = np.log(weight.sum(1) / weight.sum())[:, None].repeat(p.shape[1], 1)
-        for k, size in enumerate(SIZES):
-            for y in range(3):
-                table = np.bincount(patterns[:, k], weight[y], size)
-                if k < 2:  # neighbouring levels are alike
-                    table = np.convolve(np.pad(table, 1, mode="edge"), [0.25, 0.5, 0.25], "valid")
-                table = (table + 0.5) / (table.sum() + 0.5 * size)
-                # what repeats what the first says has half a voice
-                score[y] += np.log(table[patterns[:, k]]) * (1 if k < 1 else 0.5)
+        for y in range(3):
+            joint = _smooth(np.bincount(lexicon * (LEVELS + 1) + section, weight[y], (LEVELS + 1) ** 2).reshape(LEVELS + 1, -1))
+            apart = np.outer(joint.sum(1) + 0.5, joint.sum(0) + 0.5)
+            joint = joint + PRIOR * apart / apart.sum()
+            score[y] += np.log(joint / joint.sum())[lexicon, section]
+            for k in range(2, len(SIZES)):
+                table = np.bincount(patterns[:, k], weight[y], SIZES[k]) + 0.5
+                score[y] += VOICE * np.log(table / table.sum())[patterns[:, k]]
         new = np.exp(score - score.max(0))
         new /= new.sum(0)
-        new[:, passing] = np.array([[0.96], [0.02], [0.02]])
         done = np.abs(new - p).max() < 1e-4
         p = new
         if done:
@@ -212,5 +224,5 @@ def subjects_of(documents: DataFrame, labels: DataFrame, subjects: DataFrame) ->
     p = _posterior(patterns, np.array([r["n"] for r in rows], float), np.array([[r["no"], r["yes"]] for r in rows], float))
     good = spark.createDataFrame([(*map(int, x), float(q)) for x, q in zip(patterns, p) if q >= 0.5], ", ".join(f"{n} int" for n in NAMES) + ", p double")
     spelled = spark.createDataFrame(list(enumerate(names)), "subject int, name string")
-    chosen = said.join(F.broadcast(good), NAMES).withColumn("r", F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("lexicon"), F.desc("p"), "subject"))).where(F.col("r") <= 2)
+    chosen = said.join(F.broadcast(good), NAMES).withColumn("r", F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("p"), F.desc("lexicon"), "subject"))).where(F.col("r") <= 2)
     return chosen.join(F.broadcast(spelled), "subject").select(F.col("doc").alias("doc_id"), F.col("name").alias("subject"))
