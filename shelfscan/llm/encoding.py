@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfscan.session import spread
+from shelfscan.session import spread, written
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -71,7 +71,7 @@ def token_ids(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     a null text. Rows of one id each give a row; a null id is kept; an empty table gives no rows; other columns are
     ignored. The strings of special tokens are ordinary text.
 
-    Texts are split into words in the JVM. Documents form blocks of about block_chars characters; the distinct words of each
+    Texts are split into words in the JVM, once: the split and the words of each block are written, and read where they are needed again. Documents form blocks of about block_chars characters; the distinct words of each
     block meet the distinct words of all blocks, which are encoded once each, and come back to the block, where every
     position takes its word's ids. So what is shuffled by word is one row a block and word, not one an occurrence; a word
     that every text holds is one row a block.
@@ -80,14 +80,14 @@ def token_ids(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     chars = rows.agg(F.sum(F.length("text"))).collect()[0][0] or 0
     blocks = max(1, -(-chars // block_chars))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id", F.length("text")), F.lit(blocks)))
-    of_block = rows.where(F.length("text") > 0).select(F.col("block").alias("of"), F.explode(F.array_distinct(words(F.col("text")))).alias("word")).distinct()
+    split = written(rows.select("block", "id", words(F.coalesce("text", F.lit(""))).alias("words")), "split")
+    of_block = written(split.select(F.col("block").alias("of"), F.explode(F.array_distinct("words")).alias("word")).distinct(), "words")
     encoded = of_block.select("word").distinct().mapInArrow(_encode(folder, vocabulary), "word string, ids array<int>")
     dictionary = of_block.join(encoded, "word")
     # a task a block, so that what a task reads does not grow with the corpus
     parts = min(MOST_PARTS, max(blocks, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     placed = (
-        rows.repartition(parts, "block")
-        .select("block", "id", words(F.coalesce("text", F.lit(""))).alias("words"))
+        split.repartition(parts, "block")
         .groupBy("block")
         .cogroup(dictionary.groupBy("of"))
         .applyInArrow(lambda d, w: _place(d, w), f"id {dict(documents.dtypes)[id_col]}, ids array<int>")
