@@ -311,7 +311,7 @@ Nothing else was left of the bread."""
 
 
 def test_repairs_a_page():
-    got, found = scans.repair(PAGE, {"rnarket": "market"})
+    got, found = scans.repair(PAGE, {"rnarket": [{"worth": 1.0, "word": "market", "v": None}]})
     assert found and got == (
         "The quiet kettle holds the ledger and the window beside the old garden, while the market is still open to every paper candle in the town and "
         "the river carries the stone below the bright museum. A new page of silver paper follows the old one, and the cloud above the garden is gone. Nothing else was left of the bread."
@@ -337,6 +337,23 @@ def test_scanned_operator(spark):
     assert scans.scanned(df.limit(0)).count() == 0
 
 
+def test_the_words_around_a_place_choose(spark):
+    """One spelling stands for two words, and each place gets its own."""
+    rng = random.Random(10)
+    wrapped = lambda s: "\n".join(re.findall(r".{30,45}(?: |$)", s))
+    sea, farm = "the old boat sails over deep water".split(), "each brown cow eats fresh grass".split()
+    said = lambda words, w: " ".join(rng.sample(words, 3) + [w] + rng.sample(words, 3))
+    docs = [" ".join(said(sea, "sternela") + " " + said(farm, "stemcla") for _ in range(6)) for _ in range(120)]
+    rows = list(enumerate(docs)) + [(500, wrapped(said(sea, "sternela") * 3 + " " + said(sea, "sterncla") + " " + said(farm, "sterncla") + " " + said(farm, "stemcla") * 3))]
+    options, model = scans.readings(spark.createDataFrame(rows, "id long, body string"))
+    held = {r["rare"]: [o.asDict() for o in r["options"]] for r in options.collect()}
+    assert {o["word"] for o in held["sterncla"]} == {"sternela", "stemcla"}
+    pick = lambda words: scans.best_here(held["sterncla"], " ".join(words[:3] + ["sterncla"] + words[3:]), len(" ".join(words[:3])) + 1, len(" ".join(words[:3])) + 9, model)
+    assert [pick(sea[:6]), pick(farm[:6])] == ["sternela", "stemcla"]
+    like = {w: model.around(words) for w, words in (("sea", sea), ("farm", farm))}
+    assert abs(like["sea"] @ like["farm"]) < 0.5 and model.turn.shape == (scans.BUCKETS, scans.DIMENSIONS)
+
+
 def test_signs_at_the_edges_and_in_runs(spark):
     rng = random.Random(9)
     wrapped = lambda s: "\n".join(re.findall(r".{30,45}(?: |$)", s))
