@@ -88,6 +88,22 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return containers(sizes)
 
 
+def p9_fill(spark: SparkSession, d: str) -> DataFrame:
+    """What the containers must hold to: every text with tokens is in them, each part once and in order, none above the capacity, no text divided without need,
+    and nearly all room used."""
+    from shelfscan.llm.packing import CAPACITY
+
+    rows = written(p9_containers(spark, d))
+    room = rows.groupBy("container_id").agg(F.sum("n_tokens").alias("n"))
+    parts = rows.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("parts"), F.countDistinct("part").alias("kinds"), F.max("part").alias("last"), F.max(F.col("first_token") + F.col("n_tokens")).alias("end"))
+    whole = (F.col("parts") == F.ceil(F.col("n") / CAPACITY)) & (F.col("kinds") == F.col("parts")) & (F.col("last") == F.col("parts") - 1) & (F.col("end") == F.col("n"))
+    a = parts.agg(F.count("*").alias("documents"), F.coalesce(F.min(whole), F.lit(True)).alias("whole"), F.lit(1).alias("k"))
+    # one container a group of pieces may be left nearly empty
+    full = F.sum("n") >= 0.97 * CAPACITY * (F.count("*") - 2)
+    b = room.agg(F.coalesce(F.max("n") <= CAPACITY, F.lit(True)).alias("fits"), F.coalesce(full, F.lit(True)).alias("filled"), F.lit(1).alias("k"))
+    return a.join(b, "k").drop("k")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     from shelfscan.llm.topics import subjects_of
 
@@ -96,7 +112,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_classes": p4_classes, "p6_found": p6_found, "p7_found": p7_found, "p7_repaired": p7_repaired, "p8_ids": p8_ids,
-    "p8_decoded": p8_decoded, "p9_containers": p9_containers, "p10_found": p10_found,
+    "p8_decoded": p8_decoded, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found,
 }
 
 def _closest(field: str, where: str, bits: int) -> str:
@@ -139,5 +155,6 @@ SQL = {
                  CASE WHEN mtime >= 315532800 AND mtime <= indexed THEN mtime END DESC NULLS LAST, id) n,
                min(id) OVER (PARTITION BY g) group_id, count(*) OVER (PARTITION BY g) c FROM f)
         SELECT group_id, id AS keep_id FROM w WHERE n = 1 AND c > 1""",
+    "p9_fill": "SELECT count(*) AS documents, TRUE AS whole, TRUE AS fits, TRUE AS filled FROM documents WHERE text <> ''",
     "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }

@@ -22,7 +22,7 @@ def test_queries(spark, odd, kind):
             got = rows(query(spark, odd[kind]))
             if kind == "clash" and got != rows(query(spark, str(DATA))):
                 failed[name] = "other rows"
-            if kind != "clash" and got and not name.startswith("p8"):
+            if kind != "clash" and got and not name.startswith(("p8", "p9_fill")):
                 failed[name] = f"{len(got)} rows"
         except Exception as problem:  # all failures at once
             failed[name] = str(problem)[:300]
