@@ -25,8 +25,8 @@ from shelfscan.session import spread, written
 BUCKETS, DIMENSIONS, WINDOW = 256, 64, 2
 #: Links whose contexts are further apart are dropped, where the rare word has at least CONTEXTS of them.
 LIKE, CONTEXTS = 0.0, 4
-#: What the likeness of the words around a place counts beside the worth of a link.
-AT_PLACE = 1.0
+#: What the likeness of the words around a place counts beside the worth of a link, and what a capital at a sentence's beginning (or none within) does.
+AT_PLACE, AT_START = 0.5, 0.7
 
 
 @dataclass(frozen=True)
@@ -329,7 +329,7 @@ def _chosen(model: SkipGram):
             b = model.vectors(_counted(batch.column(6)))
             like = (model.vectors(_counted(batch.column(5))) * b).sum(1)
             df, edits, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (3, 4, 7))
-            worth = like - 0.5 * edits + 0.1 * np.log(df)
+            worth = like - 0.5 * edits + 0.2 * np.log(df)
             signs = np.array([bool(SIGN.search(w)) for w in batch.column(0).to_pylist()], bool)
             keep = pa.array((like > LIKE) | (n < CONTEXTS) | signs)
             v = pa.FixedSizeListArray.from_arrays(pa.array(b.astype(np.float32).ravel()), DIMENSIONS).cast(pa.list_(pa.float32()))
@@ -347,7 +347,9 @@ def readings(docs: DataFrame, rules: Rules = RULES) -> tuple[DataFrame, SkipGram
     a = counts.select(F.col("word").alias("rare"), F.col("counts").alias("ca"), F.col("n").alias("na"))
     b = counts.select("word", F.col("counts").alias("cb"))
     pairs = linked.join(a, "rare").join(b, "word").select("rare", "rare_df", "word", "df", "edits", "ca", "cb", "na")
-    chosen = pairs.mapInArrow(_chosen(model), "rare string, word string, worth double, v array<float>")
+    chosen = written(pairs.mapInArrow(_chosen(model), "rare string, word string, worth double, v array<float>"), "chosen")
+    # what is a misreading itself is nobody's reading
+    chosen = chosen.join(chosen.select(F.col("rare").alias("word")).distinct(), "word", "left_anti")
     capitals = F.col("rare").rlike("[0-9!@|$]") & (F.upper("rare") == F.col("rare"))
     found = chosen.select("rare", F.struct("worth", F.when(capitals, F.upper("word")).otherwise(F.col("word")).alias("word"), "v").alias("o"))
     # as many as frequent words share a skeleton with it
@@ -427,8 +429,11 @@ def best_here(options: list[dict], text: str, start: int, end: int, model: SkipG
     """The option whose vector, beside the worth of its link, is most like the words around the place."""
     if len(options) == 1 or model is None:
         return options[0]["word"]
-    around = model.around(WORD.findall(text[max(0, start - REACH) : start])[-WINDOW:] + WORD.findall(text[end : end + REACH])[:WINDOW])
-    return max(options, key=lambda o: (o["worth"] + AT_PLACE * float(around @ np.asarray(o["v"])), o["word"]))["word"]
+    before = text[max(0, start - REACH) : start]
+    around = model.around(WORD.findall(before)[-WINDOW:] + WORD.findall(text[end : end + REACH])[:WINDOW])
+    begins = not before.strip() or bool(END.search(before.rstrip()))
+    said = lambda o: o["worth"] + AT_PLACE * float(around @ np.asarray(o["v"])) + AT_START * (o["word"][0].isupper() == begins)
+    return max(options, key=lambda o: (said(o), o["word"]))["word"]
 
 
 def repair(text: str, fixes: dict[str, list[dict]], model: SkipGram | None = None, rules: Rules = RULES) -> tuple[str, bool]:
@@ -508,7 +513,9 @@ def scanned(docs: DataFrame, rules: Rules = RULES) -> DataFrame:
     bare = lambda pattern: F.transform(runs, lambda r: F.regexp_replace(r, pattern, ""))
     forms_ = F.concat(every(r"\p{L}+(?:[0-9!@|$]\p{L}+)*"), runs, bare(r"[!|]+$"), bare(r"^[!|]+|[!|]+$"))
     words = pages.select("id", F.explode(F.array_distinct(forms_)).alias("rare"))
-    fixes = words.join(known, "rare").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("rare", "options"))).alias("fixes"))
+    # the spellings alone first: they are few and small, and nearly all words of a page are none of them
+    misread = words.join(known.select("rare"), "rare", "left_semi")
+    fixes = misread.join(known, "rare").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("rare", "options"))).alias("fixes"))
 
     def run(batches):
         for batch in batches:
