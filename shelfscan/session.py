@@ -52,7 +52,7 @@ def written(df: DataFrame, name: str = "cut") -> DataFrame:
     loops that take minima.) release() deletes it; else it stays until the folder is emptied."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _made.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
