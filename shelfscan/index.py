@@ -180,7 +180,7 @@ class Index:
         if mode == "near" and fresh:
             self.fingerprint_texts()
         groups = {"near": similarity.near_texts, "images": similarity.near_images}[mode]
-        extra = {} if distance is None else {"distance": distance}
+        extra = {} if distance is None else {"distance": max(0, min(64, distance))}
         return dupes.first_sets(groups(dupes.scoped(self.files, exts=exts), under=under, **extra), limit)
 
     def dupe_records(self, mode: str = "name", limit: int = 0, under: str | None = None, exts: list[str] | None = None, distance: int | None = None, fresh: bool = True) -> DataFrame:

@@ -113,19 +113,18 @@ def in_ranges(scan: DataFrame, roots: DataFrame, ranges: list[dict]) -> DataFram
 
 
 def batch_ranges(scan: DataFrame, roots: DataFrame, committed: dict[str, float] | None = None) -> list[dict]:
-    """One range for each root of the log: from its committed offset (roots.last_index, or the later one in
-    `committed`) up to the log's end. One aggregate with map-side combine; a row a root reaches the driver."""
-    ends = _under(scan, roots).groupBy("root").agg(F.max("seen").alias("upto"))
-    starts = roots.where(F.col("path").isNotNull()).groupBy(F.col("path").alias("root")).agg(F.max("last_index").alias("after"))
-    rows = ends.join(starts, "root").limit(MAX_PARTITIONS + 1).collect()
-    if len(rows) > MAX_PARTITIONS:
+    """One range for each root that the log has something new of: from its committed offset (roots.last_index, or the later one in
+    `committed`) up to the log's end. The least committed offset reaches the scan; one aggregate with map-side combine, and a row a root
+    reaches the driver."""
+    known = roots.where(F.col("path").isNotNull()).groupBy("path").agg(F.max("last_index").alias("after")).limit(MAX_PARTITIONS + 1).collect()
+    if len(known) > MAX_PARTITIONS:
         raise ValueError("more roots than a plan may hold")
     later = committed or {}
-    out = []
-    for r in rows:
-        after = max((x for x in (r["after"], later.get(r["root"])) if x is not None), default=None)
-        out.append({"root": r["root"], "after": after, "upto": r["upto"]})
-    return sorted(out, key=lambda x: x["root"])
+    after = {r["path"]: max((x for x in (r["after"], later.get(r["path"])) if x is not None), default=None) for r in known}
+    if after and None not in after.values():
+        scan = scan.where(F.col("seen") > min(after.values()))
+    ends = _under(scan, roots).groupBy("root").agg(F.max("seen").alias("upto")).collect()
+    return sorted(({"root": r["root"], "after": after[r["root"]], "upto": r["upto"]} for r in ends if after[r["root"]] is None or r["upto"] > after[r["root"]]), key=lambda x: x["root"])
 
 
 def same(a: Column, b: Column, gap: float | None = None) -> Column:

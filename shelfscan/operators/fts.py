@@ -8,10 +8,10 @@ from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from shelfscan.session import spread
+from shelfscan.session import spread, written
 
 TOKEN = r"[\p{L}\p{N}\p{Co}]+"
 #: Saturation and length weight of the ranking, and the least weight of a term.
@@ -324,14 +324,19 @@ def matching(docs: DataFrame, query, posts: Stored | DataFrame | None = None) ->
 
 def ranked(docs: DataFrame, query, posts: Stored | DataFrame | None = None) -> DataFrame:
     """id, score of the texts that match; the lower the better (bm25, negated). The number of texts, their mean length
-    and the texts each phrase is in are counted over all texts first: one row of figures."""
+    and the texts each phrase is in are counted over all texts: one row of figures. From the texts themselves they are observed while the matching
+    rows are written, so that every text is taken apart once."""
     rows, phrases, matched, bears = _hits(docs, posts, _node(query))
     if not phrases or not any(p.words for p in _phrases(_node(query))):
         return rows.where(matched).select("id", F.lit(0.0).alias("score"))
     within = [F.count_if(f"r{k}").alias(f"n{k}") for k in range(phrases)]
     whole = [F.count("*").alias("n"), F.sum("length").alias("all")]
     if posts is None:
-        figures = within_row = rows.agg(*whole, *within).collect()[0]
+        seen = Observation()
+        bear = [b.alias(f"b{k}") for k, b in enumerate(bears)]
+        hits = rows.observe(seen, *whole, *within).where(matched).select("id", "length", *(f"p{k}" for k in range(phrases)), *bear)
+        rows, matched, bears = written(hits, "hits"), F.lit(True), [F.col(f"b{k}") for k in range(phrases)]
+        figures = within_row = seen.get or {"n": 0}
     else:
         within_row = rows.agg(*within).collect()[0]
         lengths = posts.current if isinstance(posts, Stored) else _tokenized(docs).select(F.size("t").alias("length"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import string
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +14,9 @@ from shelfscan.functions import strings as S
 from shelfscan.functions.constants import AUDIO_EXTS, CLOUD_MASK, IMAGE_EXTS, INDEXABLE_EXTS, MAX_FILE_BYTES, SKIP_DIRS, TYPE_GROUPS
 from shelfscan.operators import dupes, fingerprint, fts, incremental, relocate, similarity, stats, tree
 from shelfscan.plans import search
+from shelfscan.plans.fixtures import FORMATS, content
 from shelfscan.plans.query import Clock, parse
-from shelfscan.session import load
+from shelfscan.session import load, written
 from shelfscan.streaming import watch
 
 #: The moment the queries of ages count from.
@@ -102,9 +105,9 @@ _where("size_not", "!size:>100mb", "NOT (size >= 104857600)")
 _where("half_typed", "before:20 size:> after:2018..2020 readme", f"{lc('name')} LIKE '%readme%'")
 
 
-@add("under_scope", f"SELECT id, path FROM files WHERE starts_with({lc('path')}, '/data/intake/')")
+@add("under_scope", f"SELECT id, path FROM files WHERE starts_with({lc('path')}, '/srv/archive/')")
 def under_scope(spark, d):
-    return dupes.scoped(_files(spark, d), "/data/intake").select("id", "path")
+    return dupes.scoped(_files(spark, d), "/srv/archive").select("id", "path")
 
 
 @add("type_group", f"SELECT id, path FROM files WHERE ext IN {listed(TYPE_GROUPS['images'])}")
@@ -141,22 +144,36 @@ def name_weighted(spark, d):
     return search.find(_files(spark, d), None, "Read", 50, CLOCK).select("path", "mtime")
 
 
+def _placed(ordered: DataFrame) -> DataFrame:
+    """Rows in order with their place: an offset a sorted partition, so that an order of the whole table can be compared."""
+    at = F.monotonically_increasing_id()
+    held = written(ordered.withColumn("at", at))
+    counts = sorted((r[0], r[1]) for r in held.groupBy(F.shiftright("at", 33)).count().collect())
+    first = {p: sum(n for q, n in counts if q < p) for p, _ in counts}
+    before = F.coalesce(F.create_map(*[F.lit(x) for kv in first.items() for x in kv])[F.shiftright("at", 33)], F.lit(0)) if first else F.lit(0)
+    return held.withColumn("place", before + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
+
+
 for _by, _desc, _key in (
     ("name", False, r"lower(regexp_extract(path, '([^/\\]*)$', 1)) ASC NULLS FIRST"), ("size", True, "size DESC NULLS LAST"),
     ("modified", False, "mtime ASC NULLS FIRST"), ("folder", True, r"lower(regexp_replace(path, '[/\\][^/\\]*$', '')) DESC NULLS LAST"),
 ):
-    add(f"resort_{_by}", f"SELECT path, size FROM (SELECT path, size, mtime FROM files ORDER BY {_key}, path LIMIT 100)")(
-        lambda spark, d, by=_by, desc=_desc: search.resorted(_files(spark, d).select("path", "size", "mtime", "is_dir"), by, desc).limit(100).select("path", "size")
+    add(f"resort_{_by}", f"SELECT path, size, row_number() OVER (ORDER BY {_key}, path) AS place FROM files")(
+        lambda spark, d, by=_by, desc=_desc: _placed(search.resorted(_files(spark, d).select("path", "size", "mtime", "is_dir"), by, desc)).select("path", "size", "place")
     )
 
 
 @add("result_record", r"""
-        SELECT path, CASE WHEN is_dir = 1 THEN '' ELSE lower(regexp_extract(b, '^\.*[^.].*(\.[^.]*)$', 1)) END AS ext, b AS name,
-               CASE WHEN is_dir = 0 THEN size END AS size, strftime(make_timestamp(CAST(floor(mtime) AS BIGINT) * 1000000), '%Y-%m-%d %H:%M:%S') AS modified,
-               CASE WHEN is_dir = 1 THEN 'folder' ELSE 'file' END AS kind
-        FROM (SELECT *, CASE WHEN regexp_extract(path, '([^/\\]*)$', 1) = '' THEN path ELSE regexp_extract(path, '([^/\\]*)$', 1) END b FROM files)""")
+        WITH f AS (SELECT path, size, mtime, is_dir FROM files UNION ALL SELECT path || '/', NULL, NULL, 0 FROM files WHERE id % 5 = 0 UNION ALL SELECT path || '\', NULL, 0.0, 1 FROM files WHERE id % 7 = 0),
+        x AS (SELECT *, regexp_extract(regexp_replace(path, '[/\\]+$', ''), '([^/\\]*)$', 1) AS b, regexp_extract(path, '([^/\\]*)$', 1) AS last FROM f)
+        SELECT path, CASE WHEN is_dir = 1 THEN '' ELSE lower(regexp_extract(last, '^\.*[^.].*(\.[^.]*)$', 1)) END AS ext, CASE WHEN b = '' THEN path ELSE b END AS name,
+               CASE WHEN is_dir = 0 THEN coalesce(size, 0) END AS size,
+               CASE WHEN coalesce(mtime, 0) <> 0 THEN strftime(make_timestamp(CAST(floor(mtime) AS BIGINT) * 1000000), '%Y-%m-%d %H:%M:%S') ELSE '' END AS modified,
+               CASE WHEN is_dir = 1 THEN 'folder' ELSE 'file' END AS kind FROM x""")
 def result_record(spark, d):
-    return search.records(_files(spark, d).select("path", "size", "mtime", "is_dir"))
+    f = _files(spark, d).select("id", "path", "size", "mtime", "is_dir")
+    odd = lambda end, n, mtime, is_dir: f.where(F.col("id") % n == 0).select("id", F.concat("path", F.lit(end)).alias("path"), F.lit(None).cast("bigint").alias("size"), F.lit(mtime).cast("double").alias("mtime"), F.lit(is_dir).alias("is_dir"))
+    return search.records(f.union(odd("/", 5, None, 0)).union(odd("\\", 7, 0.0, 1)).drop("id"))
 
 
 # --- full text -----------------------------------------------------------------------
@@ -195,10 +212,10 @@ def fts_exclude(spark, d):
     return search.find(_files(spark, d), load(spark, d, "docs"), "ext:pdf !content:kettle !content:the", 0, CLOCK).select("path")
 
 
-@add("fts_tokens", f"{WITH_T} SELECT id, len(l) AS n, l[1] AS first, l[-1] AS last FROM t WHERE len(l) > 0")
+@add("fts_tokens", f"{WITH_T} SELECT id, array_to_string(l, ' ') AS tokens FROM t WHERE len(l) > 0")
 def fts_tokens(spark, d):
     t = fts.tokens(F.col("body"))
-    return load(spark, d, "docs").select("id", t.alias("t")).where(F.size("t") > 0).select("id", F.size("t").alias("n"), F.col("t")[0].alias("first"), F.element_at("t", -1).alias("last"))
+    return load(spark, d, "docs").select("id", t.alias("t")).where(F.size("t") > 0).select("id", F.array_join("t", " ").alias("tokens"))
 
 
 @add("fts_vocab", f"{WITH_T}, w AS (SELECT id, unnest(l) AS term FROM t) SELECT term, count(DISTINCT id) AS docs, count(*) AS hits FROM w GROUP BY term")
@@ -372,6 +389,33 @@ def simhash(spark, d):
     return fingerprint.simhash(load(spark, d, "docs"), "md5")
 
 
+@add("simhash_stored", "SELECT id, simhash FROM files JOIN docs USING (id) WHERE simhash IS NOT NULL")
+def simhash_stored(spark, d):
+    """The form an index uses, against the fingerprints it stores."""
+    held = _files(spark, d).where("simhash IS NOT NULL").select("id")
+    return fingerprint.simhash(load(spark, d, "docs").join(held, "id", "left_semi"))
+
+
+def _box(k: int, n: int, parts: int) -> range:
+    """The pixels of one of `parts` boxes over n."""
+    return range(k * n // parts, max(k * n // parts + 1, (k + 1) * n // parts))
+
+
+def _mean(r: int, c: int) -> str:
+    pixels = [f"px[{y * 16 + x + 1}]" for y in _box(r, 4, 8) for x in _box(c, 16, 9)]
+    return f"({' + '.join(pixels)})::DOUBLE / {len(pixels)}"
+
+
+@add("dhash_boxes", "WITH p AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(greatest(0, least(255, 128 + 40 * x::DOUBLE))) AS INT)) AS px FROM embeddings) SELECT vec_id, CAST(" + " + ".join(
+    f"CASE WHEN {_mean(r, c)} > {_mean(r, c + 1)} THEN {'-9223372036854775808' if r * 8 + c == 63 else 1 << (r * 8 + c)}::HUGEINT ELSE 0 END" for r in range(8) for c in range(8)
+) + " AS BIGINT) AS dhash FROM p")
+def dhash_boxes(spark, d):
+    """Means over boxes, of pictures of 16 x 4 grey pixels."""
+    grey = F.transform("embedding", lambda x: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), 128 + 40 * x.cast("double")))).cast("int"))
+    hexed = F.array_join(F.transform(grey, lambda x: F.lpad(F.hex(x), 2, "0")), "")
+    return load(spark, d, "embeddings").select("vec_id", fingerprint.dhashes(F.unhex(hexed), F.lit(16), F.lit(4)).alias("dhash"))
+
+
 @add("dhash", "SELECT vec_id, CAST(" + " + ".join(
     f"CASE WHEN embedding[{r * 8 + c * 8 // 9 + 1}] > embedding[{r * 8 + (c + 1) * 8 // 9 + 1}] THEN {'-9223372036854775808' if r * 8 + c == 63 else 1 << (r * 8 + c)}::HUGEINT ELSE 0 END" for r in range(8) for c in range(8)
 ) + " AS BIGINT) AS dhash FROM embeddings")
@@ -406,9 +450,42 @@ def hash_blake2b(spark, d):
     return fingerprint.hashed(_contents(spark, d))
 
 
-@add("sniff_kind")
+# Contents and the types they have.
+KINDS = [
+    ("", "empty"), ("255044462d312e34", "pdf"), ("504b0304" + b"word/".hex(), "docx"), ("504b0304", "zip"), (b"RIFF0000WAVEfmt ".hex(), "wav"), (b"RIFF0000ABCDefgh".hex(), "riff"), (b"BM".hex() + "01" * 13, "bmp"),
+    ("00000018" + b"ftypqt  ".hex(), "mov"), ("00000018" + b"ftypM4A ".hex(), "m4a"), ("00000018" + b"ftypisom".hex(), "mp4"), ("89504e470d0a1a0a", "png"), ("ffd8ffe0", "jpg"), ("1f8b08", "gz"), ("00" * 257 + b"ustar".hex() + "00", "tar"),
+    ("efbbbf" + b"<?xml?><svg>".hex(), "svg"), (b"<?xml?><a/>".hex(), "xml"), (b"<?xml?><html>".hex(), "html"), (b"  <!DOCTYPE HTML>".hex(), "html"), (b"{\\rtf1}".hex(), "rtf"), ("fffe6800", "text"), ("610062", "binary"), (b"plain".hex(), "text"),
+    ("0101" + "61" * 30, "binary"), ("0101" + "61" * 40, "text"), ("d0cf11e0a1b11ae1", "ole"), (b"GIF89a".hex(), "gif"), (b"fLaC".hex(), "flac"), ("7f454c46", "elf"),
+]
+
+
+@add("sniff_kind", "SELECT doc_id, kind FROM documents, (VALUES " + ", ".join(f"({k}, '{kind}')" for k, (_, kind) in enumerate(KINDS)) + f") x(k, kind) WHERE doc_id % {len(KINDS)} = k")
 def sniff_kind(spark, d):
-    return _contents(spark, d).select("id", fingerprint.sniffed(F.substring("content", 1, 16384), F.length("content").cast("bigint")).alias("kind"))
+    """A content of each type, by the documents' ids."""
+    contents = F.array(*(F.unhex(F.lit(h)) for h, _ in KINDS))
+    rows = load(spark, d, "documents").where("doc_id IS NOT NULL").select("doc_id", contents[F.pmod("doc_id", F.lit(len(KINDS))).cast("int")].alias("content"))
+    return rows.select("doc_id", fingerprint.sniffed(F.substring("content", 1, 16384), F.length("content").cast("bigint")).alias("kind"))
+
+
+#: Contents of which the digests are fixed values of the algorithm.
+DIGESTS = [(t, hashlib.blake2b(t.encode(), digest_size=16).hexdigest(), hashlib.blake2b(t.encode(), digest_size=32).hexdigest()) for t in ("", "abc", "ä" * 9000, "x" * 20000)]
+
+
+@add("hash_digests", "SELECT doc_id, phash, fhash FROM documents, (VALUES " + ", ".join(f"({k}, '{hashlib.blake2b(t.encode()[:16384], digest_size=16).hexdigest()}', '{f}')" for k, (t, _, f) in enumerate(DIGESTS)) + f") x(k, phash, fhash) WHERE doc_id % {len(DIGESTS)} = k")
+def hash_digests(spark, d):
+    texts = F.array(*(F.lit(t) for t, _, _ in DIGESTS))
+    rows = load(spark, d, "documents").where("doc_id IS NOT NULL").select("doc_id", F.encode(texts[F.pmod("doc_id", F.lit(len(DIGESTS))).cast("int")], "UTF-8").alias("content"))
+    return rows.select("doc_id", fingerprint.partial_hash(F.col("content")).alias("phash"), fingerprint.full_hash(F.col("content")).alias("fhash"))
+
+
+@add("hash_candidates_colliding", """
+        WITH f AS (SELECT id, path, size, is_dir, 'p' || (size % 3) AS phash, CASE WHEN id % 2 = 0 THEN fhash END AS fhash FROM files)
+        SELECT id, path, size FROM f WHERE is_dir = 0 AND size > 0 AND fhash IS NULL AND phash IS NOT NULL
+          AND (size, phash) IN (SELECT (size, phash) FROM f WHERE is_dir = 0 AND phash IS NOT NULL GROUP BY size, phash HAVING count(*) > 1)""")
+def hash_candidates_colliding(spark, d):
+    """The last stage where partial hashes collide, which is rare in an index that has done its hashing."""
+    f = _files(spark, d).withColumn("phash", F.concat(F.lit("p"), F.col("size") % 3)).withColumn("fhash", F.when(F.col("id") % 2 == 0, F.col("fhash")))
+    return dupes.hash_candidates(f, "partial")
 
 
 for _mode, _cond in (
@@ -495,11 +572,15 @@ def scan_cloud_flag(spark, d):
     return load(spark, d, "scan").select("path", "batch", "seen", incremental.is_cloud(F.col("size")).alias("cloud"))
 
 
-@add("scan_files")
+#: A folder that is the same wherever the queries run: the smallest test tables.
+WALKED = "/root/testdata/sf0.001"
+
+
+@add("scan_files", f"SELECT file AS path, regexp_extract(file, '[^/]*$') AS name, '.parquet' AS ext, 0 AS is_dir, 1 AS listed FROM glob('{WALKED}/**')")
 def scan_files(spark, d):
     from shelfscan.sources.walk import walk
 
-    return walk(spark, [d.removeprefix("file://")])
+    return walk(spark, [WALKED]).select("path", "name", "ext", "is_dir", "listed")
 
 
 @add("eligible_text", f"SELECT path, batch, seen, {WANTS} AS eligible FROM scan")
@@ -674,7 +755,7 @@ def vol_apply(spark, d):
 
 
 @add("watch_fold", """
-        WITH e AS (SELECT event_id, ts, event_type, '/corpus/u' || user_id || '/f' || (event_id % 5) || '.txt' AS path, '/corpus/u' || user_id || '/m' || (event_id % 5) || '.txt' AS target FROM events),
+        WITH e AS (SELECT event_id, ts, event_type, '/corpus/u' || user_id || '/f' || (event_id % 5) || '.txt' AS path, '/corpus/u' || user_id || '/m' || (event_id % 5) || '.txt' AS target FROM events WHERE NOT (event_id % 7 = 0 AND event_type IN ('view', 'click'))),
         x AS (SELECT event_id, ts, path, CASE WHEN event_type IN ('error', 'purchase') THEN 'delete' ELSE 'upsert' END AS op FROM e
               UNION ALL SELECT event_id, ts, target, 'upsert' FROM e WHERE event_type = 'purchase')
         SELECT path, op FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts DESC, event_id DESC, op DESC) AS n FROM x) WHERE n = 1""")
@@ -686,13 +767,32 @@ def change_events(events: DataFrame) -> DataFrame:
     """The event table read as changes of files."""
     at = lambda kind: F.concat(F.lit("/corpus/u"), F.col("user_id"), F.lit(f"/{kind}"), F.col("event_id") % 5, F.lit(".txt"))
     op = F.when(F.col("event_type") == "error", "deleted").when(F.col("event_type") == "purchase", "moved").when(F.col("event_type") == "signup", "created").otherwise("modified")
-    return events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), op.alias("op"), at("f").alias("path"), at("m").alias("to_path"), F.lit(0).alias("is_dir"))
+    return events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), op.alias("op"), at("f").alias("path"), at("m").alias("to_path"), (F.col("event_id") % 7 == 0).cast("int").alias("is_dir"))
 
 
-@add("watch_skip", rf"""SELECT id, path FROM files WHERE len(list_filter(list_slice(string_split_regex(lower(path), '[/\\]'), 1, len(string_split_regex(path, '[/\\]')) - 1),
+ODD_PATH = "CASE id % 4 WHEN 0 THEN '/srv/Node_Modules/' || name WHEN 1 THEN 'D:\\$Trash\\' || name WHEN 2 THEN '/srv/x/node_modules' ELSE path END"
+
+
+@add("watch_skip", rf"""SELECT id, path FROM (SELECT id, {ODD_PATH} AS path FROM files) WHERE len(list_filter(list_slice(string_split_regex(lower(path), '[/\\]'), 1, len(string_split_regex(path, '[/\\]')) - 1),
         lambda p: starts_with(p, '$') OR p IN {listed(SKIP_DIRS)})) > 0""")
 def watch_skip(spark, d):
-    return _files(spark, d).where(watch.skipped(F.col("path"))).select("id", "path")
+    n = F.col("id") % 4
+    path = F.when(n == 0, F.concat(F.lit("/srv/Node_Modules/"), "name")).when(n == 1, F.concat(F.lit("D:\\$Trash\\"), "name")).when(n == 2, F.lit("/srv/x/node_modules")).otherwise(F.col("path"))
+    return _files(spark, d).select("id", path.alias("path")).where(watch.skipped(F.col("path"))).select("id", "path")
+
+
+@add("watch_apply", r"""
+        WITH gone AS (SELECT path, is_dir FROM files WHERE status = 'error' OR name IN ('old', 'tmp', 'drafts'))
+        SELECT path FROM files f WHERE path NOT IN (SELECT path FROM gone)
+          AND NOT EXISTS (SELECT 1 FROM gone g WHERE g.is_dir = 1 AND starts_with(f.path, g.path || CASE WHEN contains(g.path, '\') THEN '\' ELSE '/' END))
+        UNION ALL SELECT path || '.new' FROM files WHERE id % 9 = 0""")
+def watch_apply(spark, d):
+    """A batch of deletions, with all beneath deleted folders, and of new paths."""
+    f = _files(spark, d).where("path IS NOT NULL")
+    at = F.lit(None).cast("timestamp").alias("ts")
+    gone = f.where("status = 'error' OR name IN ('old', 'tmp', 'drafts')").select("path", F.lit("delete").alias("op"), "is_dir", at)
+    new = f.where("id % 9 = 0").select(F.concat("path", F.lit(".new")).alias("path"), F.lit("upsert").alias("op"), F.lit(0).alias("is_dir"), at)
+    return watch.apply(f.select("path", "is_dir", at), gone.union(new)).select("path")
 
 
 # --- scalar functions ----------------------------------------------------------------------------------
@@ -731,13 +831,36 @@ def fn_progress(spark, d):
 # --- texts of files -----------------------------------------------------------------------------------
 
 
-@add("extract_plain")
+#: What str.strip() takes away.
+STRIPPED = r"[\s\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x0b\x0c]"
+
+
+@add("extract_plain", rf"""
+        WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '^\x{{feff}}', ''), '[ \t\r\f\x0b\xa0]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g') AS t FROM documents),
+        s AS (SELECT doc_id, regexp_replace(regexp_replace(t, '^{STRIPPED}+', ''), '{STRIPPED}+$', '') AS t FROM t)
+        SELECT '/corpus/' || doc_id || '.txt' AS path, CASE WHEN t = '' THEN 'empty' ELSE 'ok' END AS status, length(t) AS chars, md5(t) AS digest FROM s""")
 def extract_plain(spark, d):
     from shelfscan.sources.extract import extracted
 
-    rows = load(spark, d, "documents").where("text IS NOT NULL")
-    contents = rows.select(F.concat(F.lit("/corpus/"), F.col("doc_id"), F.coalesce("ext", F.lit(".txt"))).alias("path"), F.encode("text", "UTF-8").alias("content"))
-    return extracted(contents).select("path", "status", "chars")
+    rows = load(spark, d, "documents").where("doc_id IS NOT NULL")
+    contents = rows.select(F.concat(F.lit("/corpus/"), F.col("doc_id"), F.lit(".txt")).alias("path"), F.encode("text", "UTF-8").alias("content"))
+    return extracted(contents).select("path", "status", "chars", F.md5(F.encode("text", "UTF-8")).alias("digest"))
+
+
+LETTERS = r"[^\p{L}\p{N}]"
+
+
+@add("extract_formats", rf"""
+        SELECT doc_id, x.ext, md5(regexp_replace(text, '{LETTERS}', '', 'g')) AS letters FROM documents, (SELECT unnest([{', '.join(repr(x) for x in FORMATS)}]) AS ext) x WHERE text IS NOT NULL""")
+def extract_formats(spark, d):
+    """Each text as a file of each type, and the letters and digits that its reader gives back."""
+    from shelfscan.sources.extract import extracted
+
+    rows = load(spark, d, "documents").where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", F.explode(F.array(*(F.lit(x) for x in FORMATS))).alias("ext"))
+    made = F.pandas_udf(lambda t, x: pd.Series([content(a, b) for a, b in zip(t, x)]), "binary")
+    each = rows.select(F.concat("doc_id", "ext").alias("path"), made("text", "ext").alias("content"))
+    read = extracted(each).where("status <> 'error'")
+    return read.select(F.regexp_extract("path", r"^-?\d+", 0).cast("bigint").alias("doc_id"), F.regexp_extract("path", r"\.\w+$", 0).alias("ext"), F.md5(F.encode(F.regexp_replace("text", LETTERS, ""), "UTF-8")).alias("letters"))
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
