@@ -10,7 +10,7 @@ from shelfscan.functions.schedule import parse_hours
 from shelfscan.index import Index
 from shelfscan.operators.fts import SyntaxProblem
 from shelfscan.plans.search import records
-from shelfscan.session import get_spark
+from shelfscan.session import get_spark, scratch
 from shelfscan.sources.sinks import write_results
 
 
@@ -65,6 +65,11 @@ def main(argv: list[str] | None = None) -> int:
     """0; 1 if a query is no expression; 2 if there is nothing to draw; 3 if another run holds the index."""
     a = parser().parse_args(argv)
     index = Index(get_spark(), a.db)
+    with scratch(index.spark):
+        return run(a, index)
+
+
+def run(a: argparse.Namespace, index: Index) -> int:
     try:
         if a.command == "index":
             for action, n in index.refresh(a.roots or None, a.rebuild, a.include_cloud, a.ocr).items():
