@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import warnings
 import zipfile
+from collections.abc import Iterable
 from email.message import EmailMessage
 from xml.sax.saxutils import escape
 
@@ -11,10 +13,15 @@ FORMATS = (".html", ".docx", ".xlsx", ".pptx", ".odt", ".epub", ".rtf", ".eml",
 
 
 def _zip(members: dict[str, str]) -> bytes:
+    return _packed((n, t.encode("utf-8", "ignore")) for n, t in members.items())
+
+
+def _packed(members: Iterable[tuple[str, bytes]]) -> bytes:
     out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        for name, text in members.items():
-            z.writestr(name, text.encode("utf-8", "ignore"))
+    with warnings.catch_warnings(), zipfile.ZipFile(out, "w") as z:
+        warnings.simplefilter("ignore")  # a name that comes again
+        for name, raw in members:
+            z.writestr(name, raw)
     return out.getvalue()
 
 
@@ -51,7 +58,7 @@ def content(text: str, ext: str) -> bytes:
     if ext == ".eml":
         return _mail(text)
     if ext == ".zip":
-        return _zip({f"{k}": "" for k in text.split()} if text.split() else {})
+        return _packed((name.replace("\0", " "), b"") for name in text.split())
     run = lambda p, t: f"<{p}:p><{p}:r><{p}:t>{a}</{p}:t></{p}:r><{p}:r><{p}:t>{t}</{p}:t></{p}:r></{p}:p>"
     return _zip({
         ".docx": {"word/document.xml": run("w", b), "word/styles.xml": "<w:style>no</w:style>"},
