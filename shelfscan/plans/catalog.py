@@ -166,7 +166,7 @@ for _by, _desc, _key in (
 @add("result_record", r"""
         WITH f AS (SELECT path, size, mtime, is_dir FROM files UNION ALL SELECT path || '/', NULL, NULL, 0 FROM files WHERE id % 5 = 0 UNION ALL SELECT path || '\', NULL, 0.0, 1 FROM files WHERE id % 7 = 0),
         x AS (SELECT *, regexp_extract(regexp_replace(path, '[/\\]+$', ''), '([^/\\]*)$', 1) AS b, regexp_extract(path, '([^/\\]*)$', 1) AS last FROM f)
-        SELECT path, CASE WHEN is_dir = 1 THEN '' ELSE lower(regexp_extract(last, '^\.*[^.].*(\.[^.]*)$', 1)) END AS ext, CASE WHEN b = '' THEN path ELSE b END AS name,
+        SELECT path, CASE WHEN is_dir = 1 THEN '' ELSE lower(regexp_extract(last, '^\.*[^.].*(\.[^.]*)$', 1)) END AS ext, CASE WHEN b = '' OR regexp_matches(b, '^[A-Za-z]:$') THEN path ELSE b END AS name,
                CASE WHEN is_dir = 0 THEN coalesce(size, 0) END AS size,
                CASE WHEN coalesce(mtime, 0) <> 0 THEN strftime(make_timestamp(CAST(floor(mtime) AS BIGINT) * 1000000), '%Y-%m-%d %H:%M:%S') ELSE '' END AS modified,
                CASE WHEN is_dir = 1 THEN 'folder' ELSE 'file' END AS kind FROM x""")

@@ -106,14 +106,14 @@ def find(files: DataFrame, docs: DataFrame | None, text: str, limit: int = 50, c
 
 def records(rows: DataFrame) -> DataFrame:
     """Result rows (path, size, mtime, is_dir, more) as records. name is the last part of the path without separators at its end (the path where
-    nothing is left); folders have neither size nor ext, a file's unknown size is 0; modified is empty for no time; marks of hits are taken
+    nothing or a drive is left); folders have neither size nor ext, a file's unknown size is 0; modified is empty for no time; marks of hits are taken
     out of a snippet."""
     folder = F.coalesce(F.col("is_dir") == 1, F.lit(False))
     last = F.regexp_extract(F.regexp_replace("path", r"[/\\]+$", ""), r"([^/\\]*)$", 1)
     ext = F.lower(F.regexp_extract(F.regexp_extract("path", r"([^/\\]*)$", 1), r"^\.*[^.].*(\.[^.]*)$", 1))
     more = [c for c in rows.columns if c not in ("path", "size", "mtime", "is_dir")]
     return rows.select(
-        "path", F.when(last == "", F.col("path")).otherwise(last).alias("name"), F.when(folder, "").otherwise(ext).alias("ext"), F.when(~folder, F.coalesce("size", F.lit(0))).alias("size"),
+        "path", F.when((last == "") | last.rlike("^[A-Za-z]:$"), F.col("path")).otherwise(last).alias("name"), F.when(folder, "").otherwise(ext).alias("ext"), F.when(~folder, F.coalesce("size", F.lit(0))).alias("size"),
         F.when(F.coalesce(F.col("mtime"), F.lit(0.0)) != 0, local_time(F.col("mtime"))).otherwise("").alias("modified"), F.when(folder, "folder").otherwise("file").alias("kind"),
         *(F.regexp_replace(c, ">>|<<", "").alias(c) if c == "snippet" else F.col(c) for c in more),
     )

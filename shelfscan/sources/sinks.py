@@ -14,13 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 LOCK_MAX_AGE = 3 * 86400
 
 
-# The fields of a result record, in order; a group comes before them, a snippet after.
-RESULT_FIELDS = ("path", "name", "ext", "size", "modified", "kind")
-
-
 def _fields(columns: list[str], group: str | None) -> list[str]:
-    known = [c for c in RESULT_FIELDS if c in columns]
-    return [*([group] if group else []), *known, *(c for c in columns if c not in known and c != group)]
+    """The columns in their order, the group before them."""
+    return [*([group] if group else []), *(c for c in columns if c != group)]
 
 
 def write_results(records: DataFrame, path: str, fmt: str, group: str | None = None) -> int:
