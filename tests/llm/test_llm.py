@@ -285,6 +285,32 @@ def test_hot_leaves_are_met_in_blocks(spark, monkeypatch):
     assert set(map(tuple, neighbours.neighbour_pairs(spark.createDataFrame(rows, "id long, v long"), 5, 8).collect())) == closest(rows, 5, 8)
 
 
+def test_sample_does_not_grow_with_the_partitions(spark, monkeypatch):
+    """What the stages send to the driver, with as many fingerprints in each of 16 partitions as the sample has."""
+    monkeypatch.setattr(neighbours, "SAMPLE", 1000)
+    rows = spark.range(16_000).select("id", F.xxhash64(F.lit(3), "id").alias("v"))
+    sc, conf = spark.sparkContext, {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16", "spark.sql.files.openCostInBytes": "64m"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("sample", "sample")
+        neighbours.neighbour_pairs(rows, 5, 8)
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup("sample")]
+        stages = [sc._jsc.sc().statusStore().lastStageAttempt(k) for j in jobs for k in j.stageIds]
+        sent = [s.resultSize() for s in stages if s.name().startswith("collect")]
+        assert sent and 0 < max(sent) < 200_000
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = [r["v"] for r in rows.orderBy(F.xxhash64("v"), "v").limit(1000).collect()]
+    # also where the count promises more than there are, so the first look finds too few
+    assert neighbours._sample(rows, 16_000) == neighbours._sample(rows, 64_000) == want
+    assert sorted(neighbours._sample(rows.limit(7), 7)) == sorted(r["v"] for r in rows.limit(7).collect())
+
+
 # --- p7 ---------------------------------------------------------------------------------
 
 
